@@ -61,22 +61,25 @@ _ALIKE_WORD = re.compile(rf"(?<![^\W\d_])(?:[{_ALIKE}][{_MARKS}]*)+(?![^\W\d_])"
 #: Words of the alphabets concerned (spaceless scripts have no look-alikes).
 _WORD = re.compile(rf"(?:[^\W\d_\u0530-\u1dff\u2000-\uffff][{_MARKS}]*)+")
 _IS_ALIKE = re.compile(rf"(?:[{_ALIKE}][{_MARKS}]*)+")
-_HYPHEN = str.maketrans(dict.fromkeys(HYPHENS, "-"))
+_HYPHEN = re.compile(f"[{HYPHENS}]")
 
 
-def _kept() -> str:
-    """A class of the characters that compatibility normalization would change to something that looks different."""
-    out = []
-    for point in range(0x80, 0x30000):
-        kind = unicodedata.decomposition(chr(point))
-        if kind.startswith(VISIBLE) or kind.startswith("<compat> 0020") or point == 0x2026:
-            out.append(chr(point))
-    return "".join(out)
+def _kept() -> frozenset[str]:
+    """The characters that compatibility normalization would change to something that looks different."""
+    kind = unicodedata.decomposition
+    return frozenset(c for c in map(chr, range(0x80, 0x30000)) if kind(c).startswith((*VISIBLE, "<compat> 0020")) or c == "…")
 
 
 _KEPT = _kept()
-_PLAIN = re.compile(f"[^{re.escape(_KEPT)}]+")
-_HAS_KEPT = re.compile(f"[{re.escape(_KEPT)}]")
+
+
+def _compatible(text: str) -> str:
+    """Compatibility normalization of all but the kept characters."""
+    if _KEPT.isdisjoint(text):
+        return unicodedata.normalize("NFKC", text)
+    parts = re.split(f"([{re.escape(''.join(sorted(_KEPT.intersection(text))))}]+)", text)
+    parts[::2] = [unicodedata.normalize("NFKC", x) for x in parts[::2]]
+    return unicodedata.normalize("NFC", "".join(parts))
 
 
 def script_of(letter: str) -> str:
@@ -174,12 +177,7 @@ def canonical(text: str | None) -> str | None:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if not text.isascii():
-        text = _IGNORE.sub("", text).translate(_HYPHEN)
-        if _HAS_KEPT.search(text):
-            text = unicodedata.normalize("NFC", _PLAIN.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text))
-        else:
-            text = unicodedata.normalize("NFKC", text)
-        text = _IGNORE.sub("", text)
+        text = _IGNORE.sub("", _compatible(_HYPHEN.sub("-", _IGNORE.sub("", text))))
     text = _EDGE.sub("", _SPACE.sub(" ", text))
     return _WORD.sub(_decide_mixed, text) if _FOREIGN.search(text) else _ALIKE_WORD.sub(_decide, text)
 

@@ -7,12 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, packing
-from quillgraph.sources.tables import raw
+from quillgraph.llm import bpe, lookalike, packing, pieces
+from quillgraph.sources.tables import last_delivery, raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of ids whose names or bodies differ as stored but look the same."""
+    names = lookalike.look_pairs(raw(spark, sf_dir, "entities"), "id", "canonical_name", "entities")
+    return names.unionByName(lookalike.look_pairs(raw(spark, sf_dir, "chunks"), "id", "body", "chunks"))
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored name and body with its one consistent form."""
+
+    def forms(table: str, text: str) -> DataFrame:
+        return lookalike.consistent(raw(spark, sf_dir, table), "id", text).select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"), "same_look")
+
+    return forms("entities", "canonical_name").unionByName(forms("chunks", "body"))
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all chunks over 1,500 characters; of several such deliveries of an id the latest counts."""
+    big = raw(spark, sf_dir, "chunks").select("id", "body", "section_path", "heading_level", "loaded_at").filter(F.length("body") > pieces.LIMIT)
+    chunks = last_delivery(big, "id", "body")
+    out = pieces.split(chunks, "id", "body", pieces.LIMIT, pieces.OVERLAP, ("section_path", "heading_level"))
+    return out.withColumnRenamed("id", "chunk_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that were split, with the finest boundary that keeps all their units within the limit."""
+    return p6_pieces(spark, sf_dir).filter("piece = 0").select("chunk_id", "level")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as its list of byte_bpe_50k ids."""
     return bpe.encode(raw(spark, sf_dir, "documents"), "doc_id", "text")
@@ -32,5 +60,5 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count(F.lit(1)) * CAPACITY), 6).alias("fill"))
 
 
-QUERIES: dict[str, Query] = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
 ORACLE: dict[str, str] = {}
