@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, lookalike, packing, pieces
+from quillgraph.llm import bpe, lookalike, markup, packing, pieces, sentences
+from quillgraph.plans.skew import bloom_of, might_contain
 from quillgraph.sources.tables import last_delivery, raw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,23 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms("entities", "canonical_name").unionByName(forms("chunks", "body"))
 
 
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def rows(table: str, text: str) -> DataFrame:
+        return markup.cleaned(raw(spark, sf_dir, table), "id", text).select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"), "clean", "markup", "blocks")
+
+    return rows("chunks", "body").unionByName(rows("docs", "title"))
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every body and title as clean text, with where its headings, items, code, formulas, quotes and tables lie."""
+    return _marked(spark, sf_dir)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The markup languages left in each body and title."""
+    return _marked(spark, sf_dir).select("table_name", F.col("row_id").cast("bigint"), F.explode("markup").alias("markup")).distinct()
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all chunks over 1,500 characters; of several such deliveries of an id the latest counts."""
     big = raw(spark, sf_dir, "chunks").select("id", "body", "section_path", "heading_level", "loaded_at").filter(F.length("body") > pieces.LIMIT)
@@ -41,6 +59,27 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).filter("piece = 0").select("chunk_id", "level")
 
 
+def p7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every chunk; repeated deliveries give the same ones, which count once."""
+    found = sentences.sentences(raw(spark, sf_dir, "chunks"), "id", "body").withColumnRenamed("id", "chunk_id")
+    return found.select("chunk_id", "start_pos", "end_pos").distinct()
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the sentences of the sampled chunks end.
+
+    A Bloom filter of the sample's ids spares most other bodies the shuffle; the exact semi-join follows, and only the
+    bodies that are left are split.
+    """
+    sample = raw(spark, sf_dir, "sentence_sample").select(F.col("chunk_id").alias("id")).distinct()
+    chunks = raw(spark, sf_dir, "chunks").select("id", "body", "loaded_at").filter(F.col("body").isNotNull())
+    bloom, _ = bloom_of(sample.select(F.col("id").cast("string").alias("k")), "k")
+    if bloom is not None:
+        chunks = chunks.withColumn("k", F.col("id").cast("string")).filter(might_contain(spark, bloom, "k")).drop("k")
+    bodies = last_delivery(chunks.join(sample, "id", "left_semi"), "id", "body")
+    return sentences.sentences(bodies, "id", "body").select(F.col("id").alias("chunk_id"), "end_pos")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as its list of byte_bpe_50k ids."""
     return bpe.encode(raw(spark, sf_dir, "documents"), "doc_id", "text")
@@ -60,5 +99,5 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count(F.lit(1)) * CAPACITY), 6).alias("fill"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
 ORACLE: dict[str, str] = {}
