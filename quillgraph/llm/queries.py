@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, lookalike, markup, packing, pieces, sentences
+from quillgraph.llm import bpe, lookalike, markup, packing, personal, pieces, sentences
 from quillgraph.plans.skew import bloom_of, might_contain
 from quillgraph.sources.tables import last_delivery, raw
 
@@ -99,5 +99,15 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count(F.lit(1)) * CAPACITY), 6).alias("fill"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention of a private person, with its kind and place."""
+    return personal.find(raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "entities"), raw(spark, sf_dir, "name_forms"))
+
+
+def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its mentions replaced by typed placeholders."""
+    return personal.mask(raw(spark, sf_dir, "documents"), p10_found(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_masked": p10_masked}
 ORACLE: dict[str, str] = {}
