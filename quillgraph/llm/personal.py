@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.plans.skew import join_unique
@@ -28,15 +28,20 @@ _NUMBER = re.compile(r"(?<![A-Za-z0-9_@.,/+-])(?:\+|[(（](?=\+?\d))?\d(?:[\d]|[
 _DATE = re.compile(r"(?:19|20)\d{2}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d{2}")
 _WIDE = re.compile("[０-９＋－（）]")
 _TO_ASCII = {ord(a): b for a, b in zip("０１２３４５６７８９＋－（）", "0123456789+-()", strict=True)}
-_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]+")
-_FAMILY = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:['’][A-Z][^\W\d_]+)?(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?"
-_AFTER_GIVEN = re.compile(rf"((?: (?:[A-ZÀ-Þ]\.)+)?) ({_FAMILY})(?![\w’'])")
-_AFTER_SMALL = re.compile(r"((?: [a-zà-ÿ]\.)?) ([^\W\d_]{3,}(?:-[^\W\d_]{3,})?)(?![\w’'])")
-_BEFORE_GIVEN = re.compile(rf"(?<![\w.’'-])({_FAMILY}), $")
-_INITIALS = re.compile(rf"(?<![\w.’'-])((?:[A-ZÀ-ÖØ-Þ]\. ?){{1,2}})(?<=\. )({_FAMILY})(?![\w’'])")
-_COMMA_INITIAL = re.compile(rf"(?<![\w.’'-])({_FAMILY}), ([A-ZÀ-ÖØ-Þ]\.(?: ?[A-Z]\.)?)(?!\w)")
+_L, _C = "A-Za-zÀ-ÖØ-öø-ɏ", "A-ZÀ-ÖØ-Þ"
+_GIVEN = re.compile(rf"(?:(?<![{_L}0-9.'’-])[{_C}][{_L}]+(?= [{_C}])|(?<=, )[{_C}][{_L}]+)")
+_FAMILY = rf"[{_C}][{_L}]+(?:['’][{_C}][{_L}]+)?(?:-[{_C}][{_L}]+)?"
+_EDGE = rf"(?![{_L}0-9’'])"
+_AFTER_GIVEN = re.compile(rf"((?: (?:[{_C}]\.)+)?) ({_FAMILY}){_EDGE}")
+_AFTER_SMALL = re.compile(rf"((?: [a-zà-ÿ]\.)?) ([a-zà-ɏ]{{3,}}(?:-[a-zà-ɏ]{{3,}})?){_EDGE}")
+_BEFORE_GIVEN = re.compile(rf"(?<![{_L}0-9.’'-])({_FAMILY}), $")
+_BEFORE_SMALL = re.compile(rf"(?<![{_L}0-9])([a-zà-ɏ]{{4,}}(?:-[a-zà-ɏ]{{3,}})?), $")
+_MORE_INITIALS = re.compile(rf"(?: (?:[{_C}]\.)+)?(?![{_L}0-9])")
+_INITIALS = re.compile(rf"(?<![{_L}0-9.’'-])((?:[{_C}]\. ?){{1,2}})(?<=\. )({_FAMILY}){_EDGE}")
+_COMMA_INITIAL = re.compile(rf"(?<![{_L}0-9.’'-])({_FAMILY}), ([{_C}]\.(?: ?[{_C}]\.)?)(?![{_L}0-9])")
+_SMALL_WORD = re.compile("[a-zà-ɏ]{2,}")
 _HAN = "一-鿿々豈-﫿"
-_JAPANESE = re.compile(rf"(?<![{_HAN}ぁ-んァ-ヶー])([{_HAN}ヶ]{{1,4}})([ 　]?)([ぁ-んァ-ヶー]{{1,5}}?|[{_HAN}]{{1,3}}?)(?=(?:さん|様|さま|殿))")
+_JAPANESE = re.compile(rf"(?<![{_HAN}ぁ-んァ-ヶー])(?<![{_HAN}ヶ][ 　])([{_HAN}ヶ]{{1,4}})([ 　]?)([ぁ-んァ-ヶー]{{1,5}}?|[{_HAN}]{{1,3}}?)(?=(?:さん|様|さま|殿))")
 _JA_AFTER_WA = re.compile(rf"(?<=[はがをに、「])([{_HAN}ヶ]{{1,4}})([ 　]?)([ぁ-んァ-ヶー]{{1,5}}?|[{_HAN}]{{1,3}}?)(?=(?:さん|様|さま|殿))")
 _CHINESE = re.compile(rf"(?:{'|'.join(sorted(SURNAMES2))})[{_HAN}]{{1,2}}|[{''.join(sorted(SURNAMES))}][{_HAN}]{{1,2}}")
 _HAS_HAN = re.compile(f"[{_HAN}]")
@@ -46,7 +51,10 @@ _SENTENCE = re.compile(r"[。！？\n]")
 _EN_STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Court|Ct|Close|Row|Way|Place|Pl|Square|Sq|Terrace|Crescent|Boulevard|Blvd|Hill|Mews|Gardens|Grove|Walk|Parade|Quay|Alley)"
 _NAME = r"[A-ZÀ-Þ][^\W\d_]*(?:['’][a-z])?"
 _EN_FLAT = r"(?:(?:Flat|Apt|Apartment|Unit|Suite|Room)\.? ?\d{1,4}[a-zA-Z]?)"
-_EN_TOWN = rf"{_NAME}(?:[ -](?:{_NAME}|on|upon|le|under|the))*"
+# Words that begin an English sentence rather than go on with a town's name.
+_STARTERS = "The|A|An|She|He|It|Is|Are|Was|What|Who|When|Where|Why|How|In|At|By|On|See|Some|Nothing|Nobody|Neither|Because|Between|Prof|Dr|Mr|Mrs|Ms|Read|Send|Return|Call|Leave|This|That|There|They|We|You|I|If|And|But|Or|From|Contact|Signed|Please|Our|Order|Version|My|Insurance|ISBN|After|Before|While|Then"
+_PLACE = r"[A-ZÀ-Þ][a-zà-ÿ]+(?:['’-][A-Za-zà-ÿ]+)*"
+_EN_TOWN = rf"{_PLACE}(?: (?!(?:{_STARTERS})\b)(?:(?:on|upon|le|under|am|an der|sur|de|la|del) )?{_PLACE})?"
 _POSTCODE = r"(?:\d{5}(?:-\d{4})?(?!\d)|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}(?!\w))"
 _ADDRESSES = [
     re.compile(rf"(?<![\w-])(?:{_EN_FLAT}, )?\d{{1,4}}[a-z]?(?: ?[-–] ?\d{{1,4}})? (?:{_NAME} ){{1,3}}{_EN_STREET}(?!\w)(?:, {_EN_FLAT})?(?:,[ \n]{_EN_TOWN}(?:(?:, | )(?:[A-Z]{{2}} )?{_POSTCODE})?|, {_POSTCODE})?"),
@@ -56,10 +64,16 @@ _ADDRESSES = [
     re.compile(rf"(?:[{_HAN}]{{2,3}}(?:省|自治区))?(?:[{_HAN}]{{2,3}}市)?(?:[{_HAN}]{{2,3}}(?:区|县))?[{_HAN}]{{1,4}}(?:大道|大街|路|街|巷|胡同)[0-9０-９]{{1,5}}(?:号|弄)(?:[0-9０-９]{{1,4}}(?:号楼|号|栋|幢|座|单元|室|楼|层))*(?:[ 　]?邮编[:：]?[ ]?[0-9０-９]{{6}})?"),
     re.compile(rf"(?:〒?[0-9]{{3}}-[0-9]{{4}} ?)?(?:[{_HAN}]{{2,3}}[都道府県])?[{_HAN}]{{1,4}}[市区郡](?:[{_HAN}ヶケノぁ-んァ-ンー]{{1,6}}?[町村区])?[{_HAN}ヶケノ]{{0,5}}(?:[0-9０-９]{{1,3}}丁目[0-9０-９]{{1,3}}番(?:地|[0-9０-９]{{1,3}}号)?|[0-9０-９]{{1,4}}[-－−ー][0-9０-９]{{1,3}}(?:[-－−ー][0-9０-９]{{1,4}})?)"),
 ]
+#: A text without any of these words has no address of the form at the same place.
 _HINTS = [
-    re.compile(rf"\d[a-z]? (?:{_NAME} ){{1,3}}{_EN_STREET}(?!\w)"), re.compile(r"(?:str(?:aße|asse|\.)|gasse|weg|platz|allee|ring|damm|ufer|steig|stieg|markt) \d", re.I), re.compile(r"\d,? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|route|cours|passage|square) "),
-    re.compile(r"(?:C/|Calle|Avenida|Avda|Plaza|Paseo|Camino|Ronda) "), re.compile(r"(?:大道|大街|路|街|巷|胡同)[0-9０-９]{1,5}(?:号|弄)"), re.compile(r"[市区郡][^\n。]{0,12}[0-9０-９](?:丁目|[-－−ー])"),
-]
+    ("Street", " St", "Road", " Rd", "Lane", " Ln", "Ave", "Drive", " Dr", "Court", " Ct", "Close", " Row", " Way", "Place", " Pl", "Square", " Sq", "Terrace", "Crescent", "Boulevard", "Blvd", " Hill", "Mews", "Gardens", "Grove", " Walk", "Parade", "Quay", "Alley"),
+    ("straße ", "strasse ", "str. ", "gasse ", "weg ", "platz ", "allee ", "ring ", "damm ", "ufer ", "steig ", "stieg ", "markt ", "Straße ", "Strasse ", "Str. ", "Gasse ", "Weg ", "Platz ", "Allee ", "Ring ", "Damm ", "Ufer "),
+    (" rue ", " avenue ", " boulevard ", " place ", " allée ", " chemin ", " impasse ", " quai ", " route ", " cours ", " passage ", " square "),
+    ("C/ ", "Calle ", "Avenida ", "Avda", "Plaza ", "Paseo ", "Camino ", "Ronda "),
+    ("号", "弄"),
+    ("丁目", "町", "市", "区", "郡", "村"),
+]
+_HOUSE = [re.compile(r"\d[a-z]? (?:[A-ZÀ-Þ][^\W\d_]*(?:['’][a-z])? ){1,3}[A-Z]"), re.compile(r"[a-zß.] \d{1,4}"), re.compile(r"\d(?: ?(?:bis|ter|quater))?,? [a-zé]{3}"), re.compile(r"[a-zà-ÿ],? (?:n\.º ?)?\d"), re.compile(r"[道街路巷同][0-9０-９]{1,5}[号弄]"), re.compile(r"[0-9０-９](?:丁目|[-－−ー][0-9０-９])")]
 
 
 def plain(name: str) -> str:
@@ -90,25 +104,33 @@ def seed_kind(form: str, digits: int, number: str) -> str:
 
 
 _LAST = re.compile(rf"([{_HAN}ぁ-んァ-ヶー：:；;，,]{{1,3}}|[^\W\d_]+(?:[-.'’][^\W\d_]+)*\.?|\d+|[^\w\s])\s*$")
-_FIRST = re.compile(rf"\s*([{_HAN}ぁ-んァ-ヶー：:；;，,。]{{1,2}}|[^\W\d_]+|\d+|[^\w\s])")
+_FIRST = re.compile(rf"\s*([{_HAN}ぁ-んァ-ヶー]{{1,2}}|[^\W\d_]+|\d+|[^\w\s])")
 
 
 def left_of(text: str, at: int) -> str:
-    """The two tokens before a mention, names and numbers made alike."""
+    """What stands before a mention: two tokens of its sentence, or three characters of a spaceless script.
+
+    Names and numbers are made alike; "^" is the sentence's start.
+    """
     out, stop = [], at
     for _ in range(2):
         m = _LAST.search(text, max(0, stop - 30), stop)
-        if not m or "\n" in text[m.end(1) : stop] and out:
-            break
-        if "\n" in text[m.end(1) : stop]:
+        if not m or "\n" in text[m.end(1) : stop]:
             out.append("^")
             break
         token = m[1]
-        out.append("9" if token.isdigit() else "N" if token[:1].isupper() and len(out) else token.lower())
-        stop = m.start()
-        if stop == 0:
+        if token in _STOPS or token[-1] in ".!?" and (out or token[:-1].lower() not in _POINTED):
+            out.append("^")
+            break
+        out.append("9" if token.isdigit() else "N" if token[:1].isupper() and (out or token.lower() not in TITLES) and token[-1] != "." else token.lower())
+        if token[-1] > "ʯ" or token.lower().rstrip(".") in TITLES:
             break
-    return " ".join(reversed(out)) or "^"
+        stop = m.start()
+    return " ".join(reversed(out))
+
+
+_POINTED = frozenset((*TITLES, "prof", "tel", "no", "nr", "hr", "fr"))
+_STOPS = frozenset(".!?…。！？”“»」』）)\x07\x1b")
 
 
 def right_of(text: str, at: int) -> str:
@@ -129,8 +151,8 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
             if not any(a < m.end() and m.start() < b for a, b in taken):
                 out.append(("email", m.start(), m.end(), "email", "email", "", "", ""))
                 taken.append((m.start(), m.end()))
-    for hint, rule in zip(_HINTS, _ADDRESSES, strict=True):
-        if hint.search(text):
+    for words, house, rule in zip(_HINTS, _HOUSE, _ADDRESSES, strict=True):
+        if any(w in text for w in words) and house.search(text):
             for m in rule.finditer(text):
                 start, end = m.start(), m.end()
                 if rule is _ADDRESSES[4]:
@@ -144,7 +166,7 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
         for m in rule.finditer(text):
             s, start, end = m[0], m.start(), m.end()
             form, digits = form_of(s)
-            if not (7 <= digits <= 18) or _DATE.fullmatch(s) or form.startswith("999-9-9999-9999-9"):
+            if not (6 + ("A" not in form) <= digits <= 18) or _DATE.fullmatch(s) or form.startswith("999-9-9999-9999-9"):
                 continue
             if any(a < end and start < b for a, b in taken):
                 continue
@@ -153,7 +175,8 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
             left = left_of(text, start)
             low = left.lower()
             seed = seed_kind(form, digits, s)
-            if any(x in low for x in ID_LABELS) or any(x in text[max(0, start - 30) : start].lower() for x in ("social security", "sécurité sociale", "身份证", "個人番号", "steuer-id", "insurance")):
+            near = re.split("[。！？\\n]", text[max(0, start - 26) : start].lower())[-1]
+            if any(x in near for x in ID_LABELS):
                 seed = "id_number"
             elif any(x in low for x in PHONE_LABELS):
                 seed = "phone"
@@ -167,23 +190,21 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
         found.add((start, end))
         out.append(("name", start, end, form, seed, plain(family), left_of(text, start), right_of(text, end)))
 
-    for m in _CAPITAL.finditer(text):
+    for m in _GIVEN.finditer(text):
         if plain_cached(m[0]) in given:
-            if before := _BEFORE_GIVEN.search(text, max(0, m.start() - 60), m.start()):
-                rest = re.compile(r"(?: (?:[A-ZÀ-Þ]\.)+)?(?!\w)").match(text, m.end())
-                if before[1].lower() not in _NO_FAMILY:
-                    name(before.start(1), rest.end() if rest else m.end(), "family, given", before[1], "name")
-                    continue
-            if after := _AFTER_GIVEN.match(text, m.end()):
-                if (m.start() == 0 or text[m.start() - 1] not in "-.'’") and not (m[0].isupper() and not after[2].isupper()):
-                    name(m.start(), after.end(), "given family", after[2], "name")
-    small = given.intersection(text.split())
-    for word in small:
-        for m in re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", text):
-            if after := _AFTER_SMALL.match(text, m.end()):
-                name(m.start(), after.end(), "small", after[2])
-            if before := re.compile(r"(?<!\w)([a-zà-ÿ]{4,}(?:-[a-zà-ÿ]{3,})?), $").search(text, max(0, m.start() - 40), m.start()):
-                name(before.start(1), m.end(), "small, given", before[1])
+            before = _BEFORE_GIVEN.search(text, max(0, m.start() - 50), m.start()) if text[m.start() - 1 : m.start()] == " " else None
+            if before and before[1].lower() not in _NO_FAMILY:
+                name(before.start(1), _MORE_INITIALS.match(text, m.end()).end() if _MORE_INITIALS.match(text, m.end()) else m.end(), "family, given", before[1], "name")
+            elif (after := _AFTER_GIVEN.match(text, m.end())) and (after[2].isupper() or not m[0].isupper()):
+                name(m.start(), after.end(), "given family", after[2], "name")
+    words = set(_SMALL_WORD.findall(text)) if _HAS_HAN.search(text) else set(text.split())
+    for word in words:
+        if word in given or not word.isascii() and word.islower() and plain_cached(word) in given:
+            for m in re.finditer(rf"(?<![{_L}0-9]){re.escape(word)}(?![{_L}0-9])", text):
+                if after := _AFTER_SMALL.match(text, m.end()):
+                    name(m.start(), after.end(), "small", after[2])
+                if before := _BEFORE_SMALL.search(text, max(0, m.start() - 40), m.start()):
+                    name(before.start(1), m.end(), "small, given", before[1])
     if ". " in text:
         for m in _INITIALS.finditer(text):
             if m[2].lower() not in _NO_FAMILY:
@@ -193,7 +214,7 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
                 name(m.start(), m.end(), "family, initial", m[1])
     if _HAS_HAN.search(text):
         if re.search("さん|様|さま|殿", text):
-            for rule in (_JAPANESE, _JA_AFTER_WA):
+            for rule in (_JA_AFTER_WA, _JAPANESE):
                 for m in rule.finditer(text):
                     name(m.start(), m.end(), "japanese", m[1], "name")
         marks = sorted(a for a, _ in taken) + [m.start() for m in re.finditer(_HONORIFIC, text)]
@@ -211,7 +232,7 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
     return list(dict.fromkeys(out))
 
 
-_NO_FAMILY = frozenset("the a an prof dr st in at by see some when because nobody nothing between neither who what archive jr sr inc hall vol pp and or".split())
+_NO_FAMILY = frozenset("signed contact dear yours sincerely regards from to cc hello hi and the a an prof dr st in at by see some when because nobody nothing between neither who what archive jr sr inc hall vol pp and or".split())
 _plain: dict[str, str] = {}
 
 
@@ -307,38 +328,35 @@ def given_names(given: DataFrame, forms: DataFrame) -> list[str]:
     return sorted({*frequent, *fixed} - {"", "the", "a"})
 
 
-#: Rounds of scoring; a context's least share of telling mentions; a form's least share of accepted contexts.
-ROUNDS, CONTEXT, FORM = 3, 0.25, 0.9
+#: Rounds of scoring; of a context's telling mentions at least KIND must be of its kind, there must be FEWEST of them and
+#: they must be SHARE of its mentions; of a form's mentions FORM must stand in trusted contexts of one kind.
+ROUNDS, KIND, FEWEST, SHARE, FORM = 3, 0.6, 2, 0.02, 0.9
+KINDS = ("phone", "id_number", "name")
 
 
 def learned(found: DataFrame) -> DataFrame:
     """sort, left, right, kind: the contexts that tell what stands in them, scored on the graph of contexts and forms.
 
     The graph has an edge for each context (left, right) and form with its number of mentions, by an aggregate that is
-    partial on the map side. A round gives each context its share of telling mentions: seeds count 1, mentions whose
-    form the previous round trusted count a half. Contexts at or above CONTEXT with two mentions or more are trusted;
-    a form is trusted if FORM of its mentions stand in trusted contexts of one kind. Contexts without seeds never
-    become trusted by forms alone unless most of their mentions have trusted forms.
+    partial on the map side. Telling mentions are seeds: positive ones for their kind, and names of public persons
+    (column public) as negative ones. In each round a context sums its telling mentions, where a mention without a
+    seed whose form the last round trusted counts a half; contexts pass by KIND, FEWEST and SHARE. A form is trusted if
+    FORM of its mentions stand in contexts of one kind. Contexts that nothing tells anything about never pass.
     """
     side = ["sort", "left", "right"]
-    edges = written(
-        found.filter(F.col("sort").isin("number", "name")).groupBy(*side, "form").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("seed") == k, 1).otherwise(0)).alias(k) for k in ("phone", "id_number", "name")]),
-        "edges",
-    )
+    telling = [F.sum(F.when((F.col("seed") == k) & ~F.col("public"), 1).otherwise(0)).alias(k) for k in KINDS]
+    edges = written(found.groupBy(*side, "form").agg(F.count(F.lit(1)).alias("n"), *telling, F.sum(F.when(F.col("public"), 1).otherwise(0)).alias("other")), "edges")
     trusted = None
     for _ in range(ROUNDS):
-        weighed = edges
-        if trusted is None:
-            weighed = weighed.withColumn("form_kind", F.lit(None).cast("string"))
-        else:
-            weighed = weighed.join(trusted, ["sort", "form"], "left")
-        extra = lambda k: F.when(F.col("form_kind") == k, F.col("n") - F.col(k)).otherwise(0) * 0.5
-        scores = weighed.groupBy(*side).agg(F.sum("n").alias("n"), *[F.sum(F.col(k) + extra(k)).alias(k) for k in ("phone", "id_number", "name")])
-        best = F.greatest("phone", "id_number", "name")
+        weighed = edges.withColumn("form_kind", F.lit(None).cast("string")) if trusted is None else edges.join(trusted, ["sort", "form"], "left")
+        unknown = F.col("n") - F.col("phone") - F.col("id_number") - F.col("name") - F.col("other")
+        scores = weighed.groupBy(*side).agg(F.sum("n").alias("n"), F.sum("other").alias("other"), *[F.sum(F.col(k) + F.when(F.col("form_kind") == k, unknown * 0.5).otherwise(0)).alias(k) for k in KINDS])
+        best, told = F.greatest(*KINDS), F.col("phone") + F.col("id_number") + F.col("name") + F.col("other")
         kind = F.when(best == F.col("name"), "name").when(best == F.col("id_number"), "id_number").otherwise("phone")
-        contexts = scores.filter((best >= F.col("n") * CONTEXT) & (best > 0)).select(*side, kind.alias("kind"))
-        shares = edges.join(contexts, side, "left").groupBy("sort", "form", "kind").agg(F.sum("n").alias("n"))
-        totals = shares.groupBy("sort", "form").agg(F.sum("n").alias("all"), F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("n"))).alias("form_kind"), F.max(F.when(F.col("kind").isNotNull(), F.col("n"))).alias("most"))
+        contexts = scores.filter((best >= told * KIND) & (best >= FEWEST) & (best >= F.col("n") * SHARE)).select(*side, kind.alias("kind"))
+        shares = edges.filter("sort = 'number'").join(contexts, side, "left").groupBy("sort", "form", "kind").agg(F.sum("n").alias("n"))
+        told_n = F.when(F.col("kind").isNotNull(), F.col("n"))
+        totals = shares.groupBy("sort", "form").agg(F.sum("n").alias("all"), F.max_by("kind", told_n).alias("form_kind"), F.max(told_n).alias("most"))
         trusted = written(totals.filter((F.col("most") >= F.col("all") * FORM) & (F.col("most") > 1)).select("sort", "form", "form_kind"), "forms")
     return written(contexts, "contexts")
 
@@ -352,32 +370,22 @@ def find(documents: DataFrame, entities: DataFrame, forms: DataFrame) -> DataFra
     """
     families, given = known_people(entities)
     found = written(mentions(documents, given_names(given, forms)), "mentions")
-    contexts = learned(found)
     sure = found.filter(F.col("sort").isin("email", "address")).select("doc_id", F.col("sort").alias("kind"), "start_pos", "end_pos")
-    open_ = found.filter(F.col("sort").isin("number", "name")).withColumn("context", F.concat_ws("\u001f", "sort", "left", "right"))
+    names = join_unique(found.filter("sort = 'name'"), families.withColumn("public", F.lit(True)), "key", "left").withColumn("public", F.col("public").isNotNull())
+    open_ = written(names.unionByName(found.filter("sort = 'number'").withColumn("public", F.lit(False))), "open")
+    contexts = learned(open_)
     known = contexts.select(F.concat_ws("\u001f", "sort", "left", "right").alias("context"), F.col("kind").alias("context_kind"))
-    judged = join_unique(open_, known, "context", "left")
-    kind = F.when(F.col("sort") == "number", F.coalesce("context_kind", _seed())).when((F.col("context_kind") == "name") | (F.col("seed") == "name"), "name")
-    chosen = judged.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    numbers = chosen.filter("sort = 'number'").select("doc_id", "kind", "start_pos", "end_pos")
-    names = join_unique(chosen.filter("sort = 'name'").select("doc_id", "kind", "start_pos", "end_pos", "key"), families.withColumn("borne", F.lit(True)), "key", "left").filter("borne IS NULL")
-    names = names.select("doc_id", "kind", "start_pos", "end_pos")
-    every = sure.unionByName(numbers).unionByName(names).distinct()
-    return _longest(every)
-
-
-def _seed() -> Column:
-    return F.when(F.col("seed") != "", F.col("seed"))
+    judged = join_unique(open_.filter("NOT public").withColumn("context", F.concat_ws("\u001f", "sort", "left", "right")), known, "context", "left")
+    seed = F.when(F.col("seed") != "", F.col("seed"))
+    kind = F.when(F.col("sort") == "number", F.coalesce("context_kind", seed)).when((F.col("context_kind") == "name") | (F.col("seed") == "name"), "name")
+    chosen = judged.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select("doc_id", "kind", "start_pos", "end_pos")
+    return _longest(sure.unionByName(chosen).distinct())
 
 
 def _longest(every: DataFrame) -> DataFrame:
-    """Without mentions that lie within a longer one of the same document and kind (a two-character reading of a name)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id", "kind", "start_pos").orderBy(F.col("end_pos").desc())
-    first = every.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
-    inside = Window.partitionBy("doc_id", "kind").orderBy("start_pos", F.col("end_pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return first.withColumn("reach", F.max("end_pos").over(inside)).filter(F.col("reach").isNull() | (F.col("start_pos") >= F.col("reach"))).drop("reach")
+    """Without mentions that overlap an earlier, or from the same start a longer, one of the same document and kind."""
+    w = Window.partitionBy("doc_id", "kind").orderBy("start_pos", F.col("end_pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return every.withColumn("reach", F.max("end_pos").over(w)).filter(F.col("reach").isNull() | (F.col("start_pos") >= F.col("reach"))).drop("reach")
 
 
 PLACEHOLDER = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]"}
