@@ -128,10 +128,13 @@ def decide(word: str) -> str:
     The lattice has, at each letter, every letter that prints alike; it depends on the look only, so all words that look
     the same have the same lattice and the same result. Viterbi takes the path of the best sum of letter bigrams of the
     path's script, a price for each change of script, and a prior for the first one; ties go to the earlier script of
-    Latin, Cyrillic, Greek.
+    Latin, Cyrillic, Greek. A single letter is Latin.
     """
+    letters = _LETTER.findall(unicodedata.normalize("NFD", word))
+    if len(letters) == 1 and (proto := PROTOTYPE.get(letters[0][0], letters[0][0])) in FORMS:
+        return unicodedata.normalize("NFC", proto + letters[0][1:])
     best: dict[tuple[str, str], tuple[float, str]] = {("", "^"): (0.0, "")}
-    for letter in _LETTER.findall(unicodedata.normalize("NFD", word)):
+    for letter in letters:
         base, marks = letter[0], letter[1:]
         proto = PROTOTYPE.get(base, base)
         forms = FORMS.get(proto)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, lookalike, markup, packing, personal, pieces, sentences
+from quillgraph.llm import bpe, lookalike, markup, names, packing, personal, pieces, sentences
 from quillgraph.plans.skew import bloom_of, might_contain
 from quillgraph.sources.tables import last_delivery, raw
 
@@ -29,6 +29,17 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms("entities", "canonical_name").unionByName(forms("chunks", "body"))
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entity id with its group of ids that mean the same, and the group's size."""
+    groups = names.link(raw(spark, sf_dir, "entities"), raw(spark, sf_dir, "name_forms"))
+    return groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n_ids")), "group").select("id", F.col("group").alias("group_id"), "n_ids")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of entity ids that mean the same person, work, idea, school, event or place."""
+    return names.pairs(names.link(raw(spark, sf_dir, "entities"), raw(spark, sf_dir, "name_forms")))
+
+
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     def rows(table: str, text: str) -> DataFrame:
         return markup.cleaned(raw(spark, sf_dir, table), "id", text).select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"), "clean", "markup", "blocks")
@@ -109,5 +120,5 @@ def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.mask(raw(spark, sf_dir, "documents"), p10_found(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_masked": p10_masked}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_masked": p10_masked}
 ORACLE: dict[str, str] = {}
