@@ -54,10 +54,10 @@ def html_text(text: Column) -> Column:
 # What converted books leave behind.
 BOOK_RESIDUE = (
     r"(?i)\{\.calibre\d+\}",
-    r"(?im)^(?:ISBN|字数|Word Count)[:\s].*$",
-    r"(?i)!\[.*?\]\(.*?\)",
-    r"(?i)\[\]\(.*?\)",
-    r"(?im)(?:关注|加入|订阅)\s*.{0,30}(?:频道|群组|telegram|公众号).{0,80}",
+    r"(?imd)^(?:ISBN|字数|Word Count)[:\s].*$",
+    r"(?id)!\[.*?\]\(.*?\)",
+    r"(?id)\[\]\(.*?\)",
+    r"(?imd)(?:关注|加入|订阅)\s*.{0,30}(?:频道|群组|telegram|公众号).{0,80}",
 )
 
 

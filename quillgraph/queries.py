@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph import catalog
 from quillgraph.operators import instants, references
 from quillgraph.session import scratch
 from quillgraph.sources.tables import raw
@@ -67,3 +68,5 @@ ORACLE: dict[str, str] = {
     "p1_found": _P1 + "SELECT table_name, field_name, row_id, kind, strftime(seen, '%Y-%m') AS period FROM judged WHERE kind IS NOT NULL",
     "p1_report": _P1 + "SELECT table_name, field_name, kind, strftime(seen, '%Y-%m') AS period, count(*) AS n_references, count(DISTINCT row_id) AS n_rows FROM judged WHERE kind IS NOT NULL GROUP BY ALL",
 }
+QUERIES |= catalog.QUERIES
+ORACLE |= catalog.ORACLE
