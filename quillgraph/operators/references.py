@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.plans.skew import bloom_of, join_unique, might_contain
+from quillgraph.session import written
 
 
 def references(df: DataFrame, table: str, field: str, parent: str, row_id: str = "id", seen: str = "loaded_at") -> DataFrame:
@@ -50,7 +51,7 @@ def orphans(refs: DataFrame, known: DataFrame) -> DataFrame:
     """
     spark = refs.sparkSession
     tag = lambda df: df.withColumn("tagged", F.concat_ws("\u001f", "parent", "key"))
-    refs, known = tag(refs), tag(known).select("tagged", "first", "last", "removed", "delivered")
+    refs, known = written(tag(refs), "references"), written(tag(known).select("tagged", "first", "last", "removed", "delivered"), "parents")
     bloom, _ = bloom_of(known, "tagged")
     sure = None
     if bloom is not None:
