@@ -25,6 +25,11 @@ _HONORIFIC = "さん|様|さま|殿|女士|先生|小姐|太太"
 _EMAIL = re.compile(r"[A-Za-z0-9À-ÿ][\w.+-]*(?:@|＠| ?[(\[](?:at|AT)[)\]] ?| (?:at|AT) (?=[\w-]+ (?:dot|DOT) ))(?:[A-Za-z0-9-]+(?:\.| ?[(\[](?:dot|DOT)[)\]] ?| (?:dot|DOT) ))+[A-Za-z]{2,}", re.A)
 _LETTERED = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-D FMPZ]|\d{8}[ -]?[A-Z]|[XYZ][ -]?\d{7}[ -]?[A-Z]|\d{6}[ -]?\d{8}[ -]?\d{3}[XxＸｘ])(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"(?<![A-Za-z0-9_@.,/+-])(?:\+|[(（](?=\+?\d))?\d(?:[\d]|[   .\-/](?=[\d(（])|[   ]?[)）][   \-/]?(?=\d)|[   ]?[(（](?=\d{1,4}[)）]))*\d(?![\d]|[.,]\d|[A-Za-z_@])")
+#: What a text must have for the rules of e-mail addresses and numbers to find anything.
+_AT = re.compile(r"[@＠]|[(\[](?:at|AT)[)\]]| (?:at|AT) (?=[\w-]+ (?:dot|DOT) )")
+_LOCAL = re.compile(r"[A-Za-z0-9À-ÿ][\w.+-]* ?$", re.A)
+_LETTER_END = re.compile(r"\d[ -]?[A-ZxＸｘ](?![A-Za-z0-9])")
+_DIGITS = re.compile(r"\d(?:[  \u2009.\-/()（）]{0,3}\d){6}")
 _DATE = re.compile(r"(?:19|20)\d{2}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d{2}")
 _WIDE = re.compile("[０-９＋－（）]")
 _TO_ASCII = {ord(a): b for a, b in zip("０１２３４５６７８９＋－（）", "0123456789+-()", strict=True)}
@@ -46,6 +51,7 @@ _JA_AFTER_WA = re.compile(rf"(?<=[はがをに、「])([{_HAN}ヶ]{{1,4}})([ 　
 _CHINESE = re.compile(rf"(?:{'|'.join(sorted(SURNAMES2))})[{_HAN}]{{1,2}}|[{''.join(sorted(SURNAMES))}][{_HAN}]{{1,2}}")
 _HAS_HAN = re.compile(f"[{_HAN}]")
 _SENTENCE = re.compile(r"[。！？\n]")
+_STOP = re.compile("[。！？]")
 
 # Words for streets, flats and districts.
 _EN_STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Court|Ct|Close|Row|Way|Place|Pl|Square|Sq|Terrace|Crescent|Boulevard|Blvd|Hill|Mews|Gardens|Grove|Walk|Parade|Quay|Alley)"
@@ -110,9 +116,11 @@ _FIRST = re.compile(rf"\s*([{_HAN}ぁ-んァ-ヶー]{{1,2}}|[^\W\d_]+|\d+|[^\w\s
 def left_of(text: str, at: int) -> str:
     """What stands before a mention: two tokens of its sentence, or three characters of a spaceless script.
 
-    Names and numbers are made alike; "^" is the sentence's start.
+    Names and numbers are made alike; "^" is the sentence's start, or a space before a mention in a spaceless script.
     """
     out, stop = [], at
+    if text[at : at + 1] > "⺀" and text[at - 1 : at].isspace():
+        return "^"
     for _ in range(2):
         m = _LAST.search(text, max(0, stop - 30), stop)
         if not m or "\n" in text[m.end(1) : stop]:
@@ -146,13 +154,14 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
     """
     out: list[tuple[str, int, int, str, str, str, str, str]] = []
     taken: list[tuple[int, int]] = []
-    if "@" in text or "＠" in text or "dot" in text.lower() or "(at)" in text or "[at]" in text:
-        for m in _EMAIL.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                out.append(("email", m.start(), m.end(), "email", "email", "", "", ""))
-                taken.append((m.start(), m.end()))
+    for at in _AT.finditer(text):
+        local = _LOCAL.search(text, max(0, at.start() - 80), at.start())
+        m = _EMAIL.match(text, local.start()) if local else None
+        if m and m.end() > at.end() and not any(a < m.end() and m.start() < b for a, b in taken):
+            out.append(("email", m.start(), m.end(), "email", "email", "", "", ""))
+            taken.append((m.start(), m.end()))
     for words, house, rule in zip(_HINTS, _HOUSE, _ADDRESSES, strict=True):
-        if any(w in text for w in words) and house.search(text):
+        if house.search(text) and any(w in text for w in words):
             for m in rule.finditer(text):
                 start, end = m.start(), m.end()
                 if rule is _ADDRESSES[4]:
@@ -162,8 +171,8 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
                 if not any(a < end and start < b for a, b in taken):
                     out.append(("address", start, end, "address", "address", "", "", ""))
                     taken.append((start, end))
-    for rule in (_LETTERED, _NUMBER):
-        for m in rule.finditer(text):
+    for gate, rule in ((_LETTER_END, _LETTERED), (_DIGITS, _NUMBER)):
+        for m in rule.finditer(text) if gate.search(text) else ():
             s, start, end = m[0], m.start(), m.end()
             form, digits = form_of(s)
             if not (6 + ("A" not in form) <= digits <= 18) or _DATE.fullmatch(s) or form.startswith("999-9-9999-9999-9"):
@@ -219,7 +228,7 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
                     name(m.start(), m.end(), "japanese", m[1], "name")
         marks = sorted(a for a, _ in taken) + [m.start() for m in re.finditer(_HONORIFIC, text)]
         for mark in marks:
-            begin = max((m.end() for m in _SENTENCE.finditer(text, max(0, mark - 60), mark)), default=max(0, mark - 60))
+            begin = max((m.end() for m in _STOP.finditer(text, max(0, mark - 60), mark)), default=max(0, mark - 60))
             stop = _SENTENCE.search(text, mark, mark + 80)
             finish = stop.start() + 1 if stop else min(len(text), mark + 80)
             at = begin
