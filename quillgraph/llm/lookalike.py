@@ -43,6 +43,7 @@ def _pairs() -> tuple[dict[str, str], dict[str, str]]:
 
 PROTOTYPE, FORMS = _pairs()
 _IGNORE = re.compile(f"[{IGNORABLE}]+")
+_LINE_END = re.compile("[\x85\u2028\u2029]")
 _SPACE = re.compile("[^\\S\\n]+")
 _EDGE = re.compile("(?: (?=\\n|$))|(?:(?<=\\n) )|(?:^ )")
 _FOREIGN = re.compile(f"[{''.join(PROTOTYPE)}]")
@@ -180,6 +181,7 @@ def canonical(text: str | None) -> str | None:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if not text.isascii():
+        text = _LINE_END.sub("\n", text)
         text = _IGNORE.sub("", _compatible(_HYPHEN.sub("-", _IGNORE.sub("", text))))
     text = _EDGE.sub("", _SPACE.sub(" ", text))
     return _WORD.sub(_decide_mixed, text) if _FOREIGN.search(text) else _ALIKE_WORD.sub(_decide, text)
