@@ -322,7 +322,7 @@ def q26_merge_traces(spark: SparkSession, d: str) -> DataFrame:
     return notes.merge_traces(traces, traces)
 
 
-_ASKED = "asked AS (SELECT name AS query FROM me WHERE entity_id % 100 = 0 UNION SELECT aliases[1] FROM me WHERE entity_id % 100 = 1 AND len(aliases) > 0 UNION SELECT 'about ' || substr(name, 1, 60) FROM me WHERE entity_id % 100 = 2 UNION SELECT substr(name, 1, 5) || 'zzqq' FROM me WHERE entity_id % 100 = 3)"
+_ASKED = "asked AS (SELECT name AS query FROM me WHERE entity_id % 100 = 0 UNION SELECT aliases[1] FROM me WHERE entity_id % 100 = 0 AND len(aliases) > 0 UNION SELECT 'about ' || substr(name, 1, 60) FROM me WHERE entity_id % 100 = 0 UNION SELECT substr(name, 1, 5) || 'zzqq' FROM me WHERE entity_id % 100 = 0)"
 
 
 @_query(
@@ -335,13 +335,14 @@ _ASKED = "asked AS (SELECT name AS query FROM me WHERE entity_id % 100 = 0 UNION
     )
 )
 def q27_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """Anchors by name, alias, word and prefix."""
-    e = model.entities(spark, d)
+    """Anchors by name, alias, word and prefix, asked with the entities of the query set."""
+    whole = model.entities(spark, d)
+    e = whole.filter("entity_id % 100 = 0")
     asked = [
-        e.filter("entity_id % 100 = 0").select(F.col("name").alias("query")), e.filter("entity_id % 100 = 1 AND size(aliases) > 0").select(F.element_at("aliases", 1)),
-        e.filter("entity_id % 100 = 2").select(F.concat(F.lit("about "), F.substring("name", 1, 60))), e.filter("entity_id % 100 = 3").select(F.concat(F.substring("name", 1, 5), F.lit("zzqq"))),
+        e.select(F.col("name").alias("query")), e.filter("size(aliases) > 0").select(F.element_at("aliases", 1)),
+        e.select(F.concat(F.lit("about "), F.substring("name", 1, 60))), e.select(F.concat(F.substring("name", 1, 5), F.lit("zzqq"))),
     ]
-    return graph.anchors(e, asked[0].union(asked[1]).union(asked[2]).union(asked[3]).distinct())
+    return graph.anchors(whole, asked[0].union(asked[1]).union(asked[2]).union(asked[3]).distinct())
 
 
 _COMPAT = "CASE WHEN c.type IN ('', 'unknown') THEN 0.2 WHEN a.entity_type = c.type THEN 1.0 WHEN split_part(c.type, '.', 1) IN ('stem_branch', 'element') THEN 0.1 WHEN a.root = split_part(c.type, '.', 1) THEN 0.7 ELSE 0.2 END"
@@ -454,7 +455,7 @@ def q38_without_noise(spark: SparkSession, d: str) -> DataFrame:
     return curate.without_noise(model.entities(spark, d), model.relations(spark, d))[1].select("rel_id")
 
 
-_FOUND = "found AS (SELECT name, CASE WHEN entity_id % 2 = 0 THEN 'seen again' ELSE '' END AS description FROM me WHERE entity_id % 3 = 0 UNION ALL SELECT name || ' II', 'new' FROM me WHERE entity_id % 5 = 0)"
+_FOUND = "found AS (SELECT name, CASE WHEN root = 'person' THEN 'seen again' ELSE '' END AS description FROM me WHERE cross_doc_count > 0 UNION ALL SELECT name || ' II', 'new' FROM me WHERE source = 'manual')"
 
 
 @_query(
@@ -464,11 +465,11 @@ _FOUND = "found AS (SELECT name, CASE WHEN entity_id % 2 = 0 THEN 'seen again' E
     )
 )
 def q39_upsert_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Entities after a run that found some of them and new ones in document 0."""
+    """Entities after a run over document 0 that found all that documents name, and namesakes of those entered by hand."""
     e = model.entities(spark, d).withColumn("source_docs", F.array_distinct("source_docs"))
     empty = F.array().cast("array<string>")
-    again = e.filter("entity_id % 3 = 0").select("name", F.lit("concept").alias("type"), empty.alias("aliases"), F.when(F.col("entity_id") % 2 == 0, "seen again").otherwise("").alias("description"))
-    new = e.filter("entity_id % 5 = 0").select(F.concat("name", F.lit(" II")).alias("name"), F.lit("concept").alias("type"), empty.alias("aliases"), F.lit("new").alias("description"))
+    again = e.filter("cross_doc_count > 0").select("name", F.lit("concept").alias("type"), empty.alias("aliases"), F.when(F.col("root") == "person", "seen again").otherwise("").alias("description"))
+    new = e.filter("source = 'manual'").select(F.concat("name", F.lit(" II")).alias("name"), F.lit("concept").alias("type"), empty.alias("aliases"), F.lit("new").alias("description"))
     return curate.upsert_entities(e, again.unionByName(new), ["0"]).select("name", "entity_type", "description", "source", F.size("source_docs").alias("n_docs"))
 
 
@@ -539,14 +540,14 @@ def q45_connect(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     _with(
-        "SELECT rel_id, array_to_string(list_sort(list_distinct(list(note))), '|') AS notes FROM (SELECT r.rel_id, n.note FROM mr r JOIN (SELECT entity_a, entity_b, NULL AS relation_type, 'seen' AS note FROM mr WHERE rel_id % 7 = 0 UNION ALL SELECT entity_a, entity_b, 'MENTIONS', 'named' FROM mr WHERE rel_id % 3 = 0) n ON r.entity_a = n.entity_a AND r.entity_b = n.entity_b AND (n.relation_type IS NULL OR n.relation_type = r.relation_type)) GROUP BY rel_id"
+        "SELECT rel_id, array_to_string(list_sort(list_distinct(list(note))), '|') AS notes FROM (SELECT r.rel_id, n.note FROM mr r JOIN (SELECT entity_a, entity_b, NULL AS relation_type, 'seen' AS note FROM mr WHERE weight > 3 UNION ALL SELECT entity_a, entity_b, 'MENTIONS', 'named' FROM mr WHERE weight <= 1) n ON r.entity_a = n.entity_a AND r.entity_b = n.entity_b AND (n.relation_type IS NULL OR n.relation_type = r.relation_type)) GROUP BY rel_id"
     )
 )
 def q46_annotate(spark: SparkSession, d: str) -> DataFrame:
-    """Notes on edges, once each."""
+    """Remarks on the edges between pairs with a heavy or a light edge, once each."""
     r = model.relations(spark, d)
-    seen = r.filter("rel_id % 7 = 0").select("entity_a", "entity_b", F.lit(None).cast("string").alias("relation_type"), F.lit("seen").alias("note"))
-    named = r.filter("rel_id % 3 = 0").select("entity_a", "entity_b", F.lit("MENTIONS").alias("relation_type"), F.lit("named").alias("note"))
+    seen = r.filter("weight > 3").select("entity_a", "entity_b", F.lit(None).cast("string").alias("relation_type"), F.lit("seen").alias("note"))
+    named = r.filter("weight <= 1").select("entity_a", "entity_b", F.lit("MENTIONS").alias("relation_type"), F.lit("named").alias("note"))
     return curate.annotate(r, seen.unionByName(named)).select("rel_id", F.array_join("notes", "|").alias("notes"))
 
 
@@ -600,11 +601,11 @@ def q52_frontmatter(spark: SparkSession, d: str) -> DataFrame:
     return read.join(rows.select("slug", "title", "entities"), "slug").select("slug", (F.col("meta")["title"] == F.col("title")).alias("same_title"), (F.col("lists")["entities"] == F.col("entities")).alias("same_entities"))
 
 
-@_query(_with("SELECT path, count(*) AS n, max(doc_id) AS newest FROM md WHERE path NOT IN (SELECT path FROM md WHERE doc_id % 10 = 0) OR doc_id % 10 = 0 GROUP BY path"))
+@_query(_with("SELECT path, count(*) AS n, max(doc_id) AS newest FROM md GROUP BY path"))
 def q53_replace_by_path(spark: SparkSession, d: str) -> DataFrame:
-    """Documents after those with ids divisible by ten came again and replaced their paths."""
+    """Documents after all Markdown books came again and replaced their paths."""
     docs = model.docs(spark, d)
-    return files.replace_by_path(docs, docs.filter("doc_id % 10 = 0")).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("newest"))
+    return files.replace_by_path(docs, docs.filter("path LIKE '%.md'")).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("newest"))
 
 
 @_query(_with("SELECT slug, CASE WHEN insight_id % 3 = 0 THEN 'added' WHEN insight_id % 3 = 1 THEN 'updated' ELSE 'skipped' END AS action FROM mi"))
