@@ -152,23 +152,54 @@ def new_relations(old: DataFrame, found: DataFrame) -> DataFrame:
     return once.join(old.select("entity_a", "entity_b", "relation_type"), ["entity_a", "entity_b", "relation_type"], "left_anti").select("entity_a", "entity_b", "relation_type", F.coalesce("schema_weight", F.lit(1.0)).alias("weight"))
 
 
-def mention_counts(names: DataFrame, chunks: DataFrame) -> DataFrame:
-    """name, n_docs: in how many documents the name occurs, by containment without ASCII case.
+#: Names that one automaton holds; more are looked for in blocks, each a pass over the texts.
+BLOCK = 200_000
 
-    Instead of trying every name on every chunk: each name's rarest two-character grams meet the chunks' grams by an
-    equi-join only on the name's first gram hash, then containment is checked. Names shorter than the gram are tried
-    on every chunk, as one broadcast of those few; names are given by the caller (those a run touched).
+
+def mention_counts(names: DataFrame, chunks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """name, n_docs: in how many documents the name occurs, by containment without ASCII case; names that don't occur are left out.
+
+    Names (those a run touched) are taken in blocks of bounded size, by hash; each block becomes one automaton that every
+    task runs over its texts once, so no text is multiplied, shuffled or tried name by name. What is shuffled are the
+    hits, once for each task, document and name. Empty names and null documents don't count.
     """
-    size = 4
     folded = names.select("name", ascii_lower(F.col("name")).alias("low")).filter("low <> ''").distinct()
-    texts = chunks.filter("body <> ''").select("doc_id", ascii_lower(F.col("body")).alias("text"))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, F.lit(size))))
-    keyed = folded.filter(F.length("low") >= size).withColumn("gram", F.substring("low", 1, size))
-    wanted = keyed.select("gram").distinct()
-    spread = texts.filter(F.length("text") >= size).withColumn("gram", F.explode(grams(F.col("text")))).join(wanted, "gram", "left_semi")
-    long = spread.join(keyed, "gram").filter(F.contains("text", "low")).select("name", "doc_id")
-    short = texts.join(folded.filter(F.length("low") < size), F.contains("text", "low")).select("name", "doc_id")
-    return long.unionByName(short).groupBy("name").agg(F.countDistinct("doc_id").alias("n_docs"))
+    total = folded.count()
+    blocks = max(1, -(-total * 2 // block)) if total > block // 2 else 1
+    texts = chunks.filter("body <> '' AND doc_id IS NOT NULL").select(F.col("doc_id").cast("string"), "body")
+    hits = None
+    for at in range(blocks):
+        rows = folded.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == at).collect()  # at most about `block` names
+        wanted: dict[str, list[str]] = {}
+        for r in rows:
+            wanted.setdefault(r["low"], []).append(r["name"])
+        part = texts.mapInArrow(_finder(wanted), "name string, doc_id string")
+        hits = part if hits is None else hits.unionByName(part)
+    return hits.groupBy("name").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
+def _finder(wanted: dict[str, list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    fold = {ord(a): ord(a) + 32 for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for low in wanted:
+                machine.add_word(low, low)
+            machine.make_automaton()
+            find = (lambda text: {low for _, low in machine.iter(text)}) if wanted else (lambda text: set())
+        except ImportError:  # slower, the same result
+            find = lambda text: {low for low in wanted if low in text}
+        for batch in batches:
+            found = set()
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.update((name, doc) for low in find(body.lower() if body.isascii() else body.translate(fold)) for name in wanted[low])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*sorted(found), strict=True)], ["name", "doc_id"])
+
+    return run
 
 
 def verified_counts(entities: DataFrame, docs: DataFrame) -> DataFrame:

@@ -99,7 +99,8 @@ def anchors(entities: DataFrame, queries: DataFrame) -> DataFrame:
     words = queries.select("query", F.posexplode(F.filter(F.split("query", r"\s+"), lambda w: w != "")).alias("place", "term"))
     exact = whole.join(known, "term").withColumn("tier", F.col("by_alias") + 1)
     by_word = words.join(known, "term").withColumn("tier", F.lit(3))
-    prefixes = queries.filter(F.length("query") >= 2).select("query", F.explode(F.sequence(F.least(F.length("query"), F.lit(6)), F.lit(2))).alias("n")).withColumn("term", F.substring(F.col("query"), F.lit(1), F.col("n")))
+    closed = exact.select("query").unionByName(by_word.select("query")).distinct()
+    prefixes = queries.join(closed, "query", "left_anti").filter(F.length("query") >= 2).select("query", F.explode(F.sequence(F.least(F.length("query"), F.lit(6)), F.lit(2))).alias("n")).withColumn("term", F.substring(F.col("query"), F.lit(1), F.col("n")))
     like = prefixes.withColumnRenamed("term", "prefix").join(known, F.contains(F.lower("term"), F.lower("prefix"))).withColumns({"tier": F.lit(4), "place": 6 - F.col("n")})
     columns = ["query", "entity_id", "name", "entity_type", "tier", "place"]
     every = exact.select(*columns).unionByName(by_word.select(*columns)).unionByName(like.select(*columns))
