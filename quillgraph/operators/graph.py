@@ -101,7 +101,10 @@ def anchors(entities: DataFrame, queries: DataFrame) -> DataFrame:
     by_word = words.join(known, "term").withColumn("tier", F.lit(3))
     closed = exact.select("query").unionByName(by_word.select("query")).distinct()
     prefixes = queries.join(closed, "query", "left_anti").filter(F.length("query") >= 2).select("query", F.explode(F.sequence(F.least(F.length("query"), F.lit(6)), F.lit(2))).alias("n")).withColumn("term", F.substring(F.col("query"), F.lit(1), F.col("n")))
-    like = prefixes.withColumnRenamed("term", "prefix").join(known, F.contains(F.lower("term"), F.lower("prefix"))).withColumns({"tier": F.lit(4), "place": 6 - F.col("n")})
+    asked = prefixes.select(F.lower("term").alias("prefix")).distinct()
+    low = known.select(F.lower("term").alias("low"), "entity_id", "name", "entity_type")
+    hits = low.join(asked, F.contains("low", "prefix")).groupBy("prefix").agg(F.min_by(F.struct("entity_id", "name", "entity_type"), "entity_id").alias("e"))
+    like = prefixes.join(hits, F.lower("term") == F.col("prefix")).select("query", "e.*", F.lit(4).alias("tier"), (6 - F.col("n")).alias("place"))
     columns = ["query", "entity_id", "name", "entity_type", "tier", "place"]
     every = exact.select(*columns).unionByName(by_word.select(*columns)).unionByName(like.select(*columns))
     first = Window.partitionBy("query").orderBy("tier", "place", "entity_id")
