@@ -126,6 +126,29 @@ def test_books(spark, tmp_path):
         files.check_paths(["data.pdf"])
 
 
+def _epub(path, pages, package):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, text in pages.items():
+            z.writestr(name, text)
+        if package:
+            z.writestr("META-INF/container.xml", '<container xmlns="urn:x"><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>')
+            z.writestr("OEBPS/book.opf", package)
+
+
+def test_whole_epub(tmp_path):
+    pages = {
+        "OEBPS/nav.xhtml": "<nav>contents</nav>", "OEBPS/a stock.xhtml": "<html><head><title/><style>p{}</style></head><body><h2>Second</h2><ul><li>one</li><li><p>two</p></li></ul><p># not\n a  heading</p></body></html>",
+        "OEBPS/z.xhtml": "<html><head><title>no</title></head><body><h1>First<br/>Part</h1><p>a &amp; <i>b</i></p><pre>x\n  y</pre></body></html>",
+    }
+    package = """<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="n" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/><item id="a" href="a%20stock.xhtml" media-type="application/xhtml+xml"/>
+    <item id="z" href="z.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="n"/><itemref idref="z"/><itemref idref="a"/></spine></package>"""
+    _epub(tmp_path / "b.epub", pages, package)
+    assert files.epub_text((tmp_path / "b.epub").read_bytes()) == "# First Part\n\na & b\n\nx\n  y\n\n## Second\n\n- one\n\n- two\n\n\\# not a heading"
+    _epub(tmp_path / "c.epub", {"toc.html": "<p>no</p>", "ch10.html": "<p>ten</p>", "ch2.html": "<p>two</p>"}, None)
+    assert files.epub_text((tmp_path / "c.epub").read_bytes()) == "two\n\nten"
+    assert files.epub_text(b"broken") == ""
+
+
 def test_paths_stay_within(tmp_path):
     (tmp_path / "x.md").write_text("x")
     assert files.within("x.md", str(tmp_path)).endswith("x.md")
