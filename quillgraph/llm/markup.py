@@ -25,7 +25,7 @@ MAGIC = re.compile(r"__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NOINDEX|INDEX|NOGALLE
 
 _SPECIAL = re.compile(r"[<`*_~\[{}\\$\n]|&(?=[#A-Za-z])|!(?=\[)|'(?=')")
 #: What a text must have somewhere to be parsed; everything that counts as a construct has one of these.
-_ANY = re.compile(r"<[A-Za-z/!?]|&[#A-Za-z]\w*;|`|\*(?=[^\s*)])|\*\*|(?<!\w)_(?=\S)|~~|\[\[|\[\^|\[[^\]\n]*\]\(|\[(?:https?|ftp):|\{[|{\\]|\\[A-Za-z\[(]|\$|''|^(?:#|=|>|[-+][ \t]|\|)|\n(?:#|=|>|[-+][ \t]|\||[ \t]*~~~|---)", re.I)
+_ANY = re.compile(r"<[A-Za-z/!?]|&[#A-Za-z]\w*;|`|\*(?=[^\s*)])|\*\*|(?<!\w)_(?=\S)|~~|\[\[|\[\^|\[[^\]\n]*\]\(|\[(?:https?|ftp):|\{[|{\\]|\\[A-Za-z\[(]|\$|''|(?:^|\n)(?:[ ]{0,3}#|=|>|[ \t]*[-+*][ \t]+\S|\||[ \t]*~~~|---)|__[^\s*_~]", re.I)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]{0,14})((?:\s+[^<>]*|/)?)>")
 _COMMENT = re.compile(r"<!--.*?(?:-->|$)|<!DOCTYPE[^>]*>|<\?[a-z][^>]*>", re.S | re.I)
 _REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")

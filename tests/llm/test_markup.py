@@ -52,3 +52,10 @@ def test_rows(spark):
     rows = {r.id: (r.clean, list(r.markup)) for r in cleaned(df, "id", "body").collect()}
     assert rows == {1: ("x", ["html"]), 2: (None, []), 3: ("", [])}
     assert cleaned(df.limit(0), "id", "body").count() == 0
+
+
+@pytest.mark.parametrize("text", ["* one\n* two", "x\n  - one\n  - two", "\t+ one", "  * one", "x__NOTOC__", "x___#a__"])
+def test_lone_constructs_are_parsed(text):
+    from quillgraph.llm.markup import _ANY, parse
+
+    assert parse(text).found and _ANY.search(text) and render(text)[1] == sorted(parse(text).found)
