@@ -247,7 +247,7 @@ def _hub(spark: SparkSession, d: str) -> str:
 )
 def q17_entity_card(spark: SparkSession, d: str) -> DataFrame:
     """Everything about the entity with the most edges."""
-    return graph.entity_card(_hub(spark, d), model.entities(spark, d), model.relations(spark, d), model.insights(spark, d), model.docs(spark, d), model.traces(spark, d))
+    return graph.entity_card(_hub(spark, d), model.entities(spark, d), model.relations(spark, d), model.insights(spark, d), model.docs(spark, d), model.traces(spark, d), model.chunks(spark, d))
 
 
 _SEEDS = "seeds AS (SELECT name AS seed FROM me WHERE entity_id % 100 = 0)"

@@ -186,8 +186,11 @@ def relation_types(relations: DataFrame) -> DataFrame:
     return relations.groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def entity_card(name: str, entities: DataFrame, relations: DataFrame, insights: DataFrame, docs: DataFrame, traces: DataFrame) -> DataFrame:
-    """section, pos, item, detail: an entity with its 20 heaviest relations, up to 10 notes and 10 books, and its footprint."""
+def entity_card(name: str, entities: DataFrame, relations: DataFrame, insights: DataFrame, docs: DataFrame, traces: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """section, pos, item, detail: an entity with its 20 heaviest relations, up to 10 notes and 10 books, and its footprint.
+
+    If its source_docs give no book, those with a chunk that contains its name, if chunks are given.
+    """
     entity = entities.filter(F.col("name") == name)
     head = entity.select(F.lit("entity").alias("section"), F.lit(1).alias("pos"), F.col("name").alias("item"), F.col("entity_type").alias("detail"))
     near = adjacency(relations).filter(F.col("src") == name).orderBy(F.col("weight").desc(), "side", "rel_id").limit(20)
@@ -196,6 +199,9 @@ def entity_card(name: str, entities: DataFrame, relations: DataFrame, insights:
     told = insights.filter(F.exists("entities", lambda e: has_text(e, name))).orderBy("insight_id").limit(10)
     notes = told.select(F.lit("note").alias("section"), F.row_number().over(Window.orderBy("insight_id")).alias("pos"), F.col("title").alias("item"), F.col("slug").alias("detail"))
     books = entity.select(F.explode("source_docs").alias("d")).distinct().join(docs, F.col("d") == F.col("doc_id").cast("string")).orderBy("doc_id").limit(10)
+    if chunks is not None and books.isEmpty():
+        named = chunks.filter(has_text(F.col("body"), name)).join(F.broadcast(entity.select("name").limit(1)), F.lit(True)).select("doc_id")  # one row, or none
+        books = docs.join(named.distinct(), "doc_id", "left_semi").orderBy("doc_id").limit(10)
     shelf = books.select(F.lit("book").alias("section"), F.row_number().over(Window.orderBy("doc_id")).alias("pos"), F.col("title").alias("item"), F.col("doc_id").cast("string").alias("detail"))
     trail = traces.filter(F.col("name") == name).select(F.lit("footprint").alias("section"), F.row_number().over(Window.orderBy("source")).alias("pos"), F.col("source").alias("item"), F.col("count").cast("string").alias("detail"))
     out = head

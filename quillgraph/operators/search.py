@@ -121,11 +121,18 @@ def in_book(chunks: DataFrame, docs: DataFrame, query: str, book: str, query_ter
     return rows.select(F.row_number().over(Window.orderBy("tier", "pos")).alias("pos"), F.col("title").alias("book"), F.col("section_path").alias("section"), "body")
 
 
-def notes(insights: DataFrame, query: str, query_terms: Sequence[str], top_n: int = 5) -> DataFrame:
-    """pos, insight_id, slug, title, content (300 characters), source: full text over title and content, then substrings, newest first."""
+def notes(insights: DataFrame, query: str, query_terms: Sequence[str], top_n: int = 5, vectors: DataFrame | None = None, query_vector: Sequence[float] | None = None) -> DataFrame:
+    """pos, insight_id, slug, title, content (300 characters), source: full text over title and content, then substrings, newest first.
+
+    Vectors (insight_id, embedding), if given with the query's, come last.
+    """
     text = numbered(bm25(insights, "insight_id", ["title", "content"], query_terms).orderBy("rank", "insight_id").limit(top_n * 2), F.col("rank"), F.col("insight_id"))
     like = insights.filter(has_text(F.col("title"), query) | has_text(F.col("content"), query)).orderBy(F.col("created_at").desc(), "insight_id").limit(top_n * 2)
-    best = fused([("fts", text), ("like", numbered(like, F.col("created_at").desc(), F.col("insight_id")))], "insight_id", top_n)
+    tiers = [("fts", text), ("like", numbered(like, F.col("created_at").desc(), F.col("insight_id")))]
+    if vectors is not None and query_vector:
+        near = knn(vectors.join(insights.select("insight_id"), "insight_id", "left_semi"), "insight_id", "embedding", query_vector, top_n * 2)
+        tiers.append(("vector", numbered(near, F.col("distance"), F.col("insight_id"))))
+    best = fused(tiers, "insight_id", top_n)
     rows = insights.join(F.broadcast(best), "insight_id")  # at most top_n rows
     return rows.select(F.row_number().over(Window.orderBy("tier", "pos")).alias("pos"), "insight_id", "slug", "title", F.substring("content", 1, 300).alias("content"), "source")
 

@@ -82,3 +82,23 @@ def test_empty_graph(spark):
     e, r, _ = tables(spark, [("A", "person", (), 0, ())], [("A", "A", "KNOWS", 1)])
     assert graph.navigate(r.limit(0), e, spark.createDataFrame([("A",)], "seed string")).count() == 0
     assert graph.adjacency(r).count() == 1
+
+
+def test_card_finds_books_by_name(spark):
+    e, r, t = tables(spark, [("Plato", "person", (), 0, ()), ("Kant", "person", (), 0, ("2",)), ("Hume", "person", (), 0, ("9",))], [])
+    notes = spark.createDataFrame([], "insight_id long, title string, slug string, entities array<string>")
+    docs = spark.createDataFrame([(1, "One"), (2, "Two"), (3, "Three")], "doc_id long, title string")
+    chunks = spark.createDataFrame([(1, "on plato"), (1, "Plato and Kant"), (3, "Plato, Hume")], "doc_id long, body string")
+    shelf = lambda name: [(x.pos, x.item) for x in graph.entity_card(name, e, r, notes, docs, t, chunks).filter("section = 'book'").orderBy("pos").collect()]
+    assert shelf("Plato") == [(1, "One"), (2, "Three")] and shelf("Kant") == [(1, "Two")] and shelf("Hume") == [(1, "Three")] and shelf("on") == []
+
+
+def test_notes_by_vectors(spark):
+    from quillgraph.operators import search
+
+    rows = [(1, "a", "River", "the river", "x", 1), (2, "b", "Stream", "water", "x", 2), (3, "c", "Stone", "hard", "x", 3)]
+    notes = spark.createDataFrame(rows, "insight_id long, slug string, title string, content string, source string, created_at long").drop("source")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (7, [1.0, 0.0])], "insight_id long, embedding array<double>")
+    found = search.notes(notes, "river", ["river"], 2, vectors, [1.0, 0.0]).orderBy("pos").collect()
+    assert [(x.insight_id, x.source) for x in found] == [(1, "fts"), (2, "vector")]
+    assert [x.insight_id for x in search.notes(notes, "river", ["river"], 2).collect()] == [1]
