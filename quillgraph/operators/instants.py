@@ -8,11 +8,12 @@ from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.plans.skew import join_unique
+from quillgraph.session import written
 
 # Month names by language, as tools print them.
 MONTHS = {
@@ -151,27 +152,42 @@ def _parse(text: pd.Series, zone: pd.Series, day_first: pd.Series) -> pd.Series:
     return pd.Series([parse_instant(t, z if isinstance(z, str) else None, d is True or d == 1) for t, z, d in cells], dtype="Int64")
 
 
-DICTIONARY = "text string, tz_name string, day_first boolean, utc_micros bigint"
+DICTIONARY = "text string, tz_name string, day_first boolean, utc_micros bigint, word binary"
+#: Goes up when the reading of texts changes, so that a store of older readings is left alone.
+READING = 2
+
+
+def _word(text: Column) -> Column:
+    """128 bits that stand for a text with its zone and order of day and month, null for a null text."""
+    return F.when(text.isNotNull(), F.unhex(F.md5(F.concat_ws("\u001f", text, "tz_name", F.col("day_first").cast("string")))))
 
 
 def dictionary(pairs: DataFrame, store: str | None = None) -> DataFrame:
     """Each distinct (text, tz_name, day_first), parsed once: DICTIONARY's columns; null texts are left out.
 
-    With a store, a Parquet folder, only triples that it lacks are parsed and appended; then all of it is returned.
+    With a store, a Parquet folder that stays, only triples that it lacks are parsed and appended; then all of it is
+    returned. A triple that two writers or a repeated append have brought twice has the same reading and counts once.
     """
     spark = pairs.sparkSession
-    key = ["text", "tz_name", "day_first"]
-    distinct = pairs.filter(F.col("text").isNotNull()).select(F.col("text"), F.coalesce("tz_name", F.lit("")).alias("tz_name"), F.coalesce("day_first", F.lit(False)).alias("day_first")).distinct()
+    zoned = pairs.filter(F.col("text").isNotNull()).select("text", F.coalesce("tz_name", F.lit("")).alias("tz_name"), F.coalesce("day_first", F.lit(False)).alias("day_first"))
+    distinct = zoned.withColumn("word", _word(F.col("text"))).groupBy("word").agg(F.min(F.struct("text", "tz_name", "day_first")).alias("t")).select("t.*", "word")
+    parsed = lambda df: df.select("text", "tz_name", "day_first", _parse("text", "tz_name", "day_first").alias("utc_micros"), "word")
     if store is None:
-        return distinct.withColumn("utc_micros", _parse(*key))
+        return parsed(distinct)
+    folder = f"{store}/reading-{READING}"
     try:
-        known = spark.read.schema(DICTIONARY).parquet(store)
-        distinct = distinct.join(known, key, "left_anti")
+        distinct = distinct.join(spark.read.schema(DICTIONARY).parquet(folder).select("word"), "word", "left_anti")
     except Exception as e:  # the store's first use
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    distinct.withColumn("utc_micros", _parse(*key)).write.mode("append").parquet(store)
-    return spark.read.schema(DICTIONARY).parquet(store)
+    parsed(distinct).write.mode("append").parquet(folder)
+    return stored(spark, store)
+
+
+def stored(spark: SparkSession, store: str) -> DataFrame:
+    """A store's triples, each once."""
+    known = spark.read.schema(DICTIONARY).parquet(f"{store}/reading-{READING}")
+    return known.groupBy("word").agg(F.min(F.struct("text", "tz_name", "day_first", "utc_micros")).alias("t")).select("t.*", "word")
 
 
 def normalise(rows: DataFrame, writers: DataFrame, store: str | None = None, text: str = "raw_time") -> DataFrame:
@@ -179,11 +195,11 @@ def normalise(rows: DataFrame, writers: DataFrame, store: str | None = None, tex
 
     rows needs writer_id and the text column. writers is the fixed list of writers (one small row each, by contract
     of the data; it is joined without a hint, so Spark broadcasts it only while its size is known to be small). Rows
-    are joined back to the dictionary by text, zone and order; a text that very many rows share ("n/a") is met by
-    join_unique's split of hot keys. Rows without a writer are read as UTC, month first; a null text gives null.
+    are joined back to the dictionary by a digest of text, zone and order; a text that very many rows share ("n/a") is
+    met by join_unique's split of hot keys. Rows without a writer are read as UTC, month first; a null text gives null.
     """
     zoned = rows.join(writers.select("writer_id", "tz_name", "day_first").dropDuplicates(["writer_id"]), "writer_id", "left").withColumns({"tz_name": F.coalesce("tz_name", F.lit("")), "day_first": F.coalesce("day_first", F.lit(False))})
+    zoned = written(zoned.withColumn("__word", _word(F.col(text))), "times")
     words = dictionary(zoned.select(F.col(text).alias("text"), "tz_name", "day_first"), store)
-    key = lambda c: F.concat_ws("\u001f", F.col(c), "tz_name", F.col("day_first").cast("string"))
-    left = zoned.withColumn("__key", F.when(F.col(text).isNotNull(), key(text))).drop("tz_name", "day_first")
-    return join_unique(left, words.select(key("text").alias("__key"), "utc_micros"), "__key", "left").drop("__key")
+    left = zoned.drop("tz_name", "day_first")
+    return join_unique(left, words.select(F.col("word").alias("__word"), "utc_micros"), "__word", "left").drop("__word")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.plans.skew import bloom_of, join_unique, might_contain
+from quillgraph.plans.skew import WORDS, Bloom, join_unique
 from quillgraph.session import written
 
 
@@ -41,29 +41,24 @@ def parents(df: DataFrame, parent: str, key: str, removals: DataFrame, seen: str
     )
 
 
-def orphans(refs: DataFrame, known: DataFrame) -> DataFrame:
+def orphans(refs: DataFrame, known: DataFrame, words: int = WORDS) -> DataFrame:
     """References whose record doesn't exist, or exists but first arrives after them: table_name, field_name, row_id, kind, period.
 
-    A Bloom filter of all known parent keys proves most definite orphans without a join ("missing"); only positives go
-    through the exact join, which weeds out the filter's false positives and tells "removed", "missing" and "late"
-    apart. The filter's size is bounded (see bloom_of); beyond the bound every reference takes the exact join. Hot
-    parent keys are joined by broadcast of their few rows (see join_unique). period is null if no delivery time is known.
+    A Bloom filter of all known parent keys proves most definite orphans without a join ("missing"), at every size:
+    `words` bounds what is broadcast at once, and more keys make more filters. Only positives go through the exact join,
+    which weeds out the filter's false positives and tells "removed", "missing" and "late" apart; hot parent keys are
+    joined there by broadcast of their few rows (see join_unique). period is null if no delivery time is known.
     """
-    spark = refs.sparkSession
-    tag = lambda df: df.withColumn("tagged", F.concat_ws("\u001f", "parent", "key"))
-    refs, known = written(tag(refs), "references"), written(tag(known).select("tagged", "first", "last", "removed", "delivered"), "parents")
-    bloom, _ = bloom_of(known, "tagged")
-    sure = None
-    if bloom is not None:
-        hit = might_contain(spark, bloom, "tagged")
-        sure, refs = refs.filter(~hit).withColumn("kind", F.lit("missing")), refs.filter(hit)
-    joined = join_unique(refs, known, "tagged", "left")
+    tag = lambda df: df.withColumn("tagged", F.concat_ws("\u001f", "parent", "key")).drop("parent", "key")
+    known = written(tag(known), "parents")
+    tested = written(Bloom(known, "tagged", words).test(tag(refs), "tagged"), "references")
+    sure, open_ = tested.filter("NOT maybe").withColumn("kind", F.lit("missing")), tested.filter("maybe").drop("maybe")
+    joined = join_unique(open_, known, "tagged", "left", tested.count())
     exists = F.coalesce(F.col("delivered"), F.lit(False)) & ~F.coalesce(F.col("removed") > F.col("last"), F.lit(False))
     kind = F.when(~exists, F.when(F.col("removed").isNotNull(), "removed").otherwise("missing")).when(F.col("first") > F.col("seen"), "late")
     found = joined.withColumn("kind", kind).filter(F.col("kind").isNotNull())
     columns = ["table_name", "field_name", "row_id", "kind", F.date_format("seen", "yyyy-MM").alias("period")]
-    found = found.select(*columns)
-    return found if sure is None else found.unionByName(sure.select(*columns))
+    return found.select(*columns).unionByName(sure.select(*columns))
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.session import written
+
 #: A key that holds more than one row in SHARE is hot; by counting, there are fewer than SHARE such keys.
 SHARE = 500
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+def hot_keys(df: DataFrame, key: str, total: int | None = None) -> dict:
+    """The keys that hold more than 1/SHARE of df's rows (or of total) with their counts: fewer than SHARE, whatever the data."""
+    total = df.count() if total is None else total
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
+    return {r[0]: r[1] for r in counts.filter(F.col("count") * SHARE > F.lit(max(total, SHARE * 20))).collect()}
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left", total: int | None = None) -> DataFrame:
     """left joined to right, which has each key at most once; hot keys of left don't meet in one task.
 
     Keys with more than 1/SHARE of left's rows are counted exactly (partial counts before the shuffle). They are fewer
     than SHARE, so their rows of right are broadcast; all other keys go through the ordinary shuffled join, where no
     key holds more than 1/SHARE of the rows. Null keys take neither join and keep null columns (how="left") or vanish
-    (how="inner").
+    (how="inner"). total is left's number of rows if it is known, or a number of that order.
     """
-    spark = left.sparkSession
-    total = left.count()
-    counts = left.filter(F.col(key).isNotNull()).groupBy(key).count()
-    hot = [r[0] for r in counts.filter(F.col("count") * SHARE > F.lit(max(total, SHARE * 20))).select(key).collect()]
+    hot = list(hot_keys(left, key, total))
     more = [c for c in right.columns if c != key]
     known = left.filter(F.col(key).isNotNull())
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
@@ -39,35 +45,74 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left")
     return out
 
 
-def bloom_of(keys: DataFrame, key: str, bits_per_key: int = 12, most_bits: int = 1 << 26) -> tuple[bytes | None, int]:
-    """A Bloom filter of a string column, built by partial aggregation; None if it would need more than most_bits.
+def join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join where keys may repeat on both sides; a key that is hot on either side is spread over many tasks.
 
-    most_bits (8 MB) bounds what is broadcast whatever the data's size; beyond it the caller joins without a filter.
-    Returns the filter and the number of keys it was sized for.
+    The rows of a hot key are laid in as many blocks as it holds 1/SHARE of its side's rows, by a hash of the whole row,
+    and meet every block of the other side, which is repeated for that. Both sides should be written tables, as they
+    are read twice. Null keys vanish.
     """
-    spark = keys.sparkSession
-    n = keys.select(F.approx_count_distinct(key, 0.02)).first()[0]
-    bits = max(1024, int(n * 1.1 + 64) * bits_per_key)
-    if bits > most_bits:
-        return None, n
-    agg = _catalyst(spark).aggregate.BloomFilterAggregate(_expression(F.xxhash64(key)), _expression(F.expr(f"{int(n * 1.1 + 64)}L")), _expression(F.expr(f"{bits}L")))
-    return bytes(keys.select(_column(spark, agg.toAggregateExpression()).alias("b")).first()[0] or b"") or None, n
-
+    spark = left.sparkSession
+    sides = [hot_keys(left, key), hot_keys(right, key)]
+    if not any(sides):
+        return left.join(right, key)
+    blocks = []
+    for df, hot in zip((left, right), sides, strict=True):
+        total = sum(hot.values()) and df.count()
+        blocks.append({k: max(1, -(-n * SHARE // total)) for k, n in hot.items()})
+    table = spark.createDataFrame([(k, blocks[0].get(k, 1), blocks[1].get(k, 1)) for k in {*blocks[0], *blocks[1]}], f"`{key}` {left.schema[key].dataType.simpleString()}, __l long, __r long")
 
-def might_contain(spark: SparkSession, bloom: bytes, key: str) -> Column:
-    """False only if the string column key is surely not among the filter's keys."""
-    return _column(spark, _catalyst(spark).BloomFilterMightContain(_expression(F.lit(bytearray(bloom))), _expression(F.xxhash64(key))))
+    def laid(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        spread = df.join(F.broadcast(table), key, "left").withColumns({own: F.coalesce(own, F.lit(1)), other: F.coalesce(other, F.lit(1))})
+        return spread.withColumns({mine: F.pmod(F.xxhash64(*df.columns), own), theirs: F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))}).drop(own, other)
 
+    met = laid(left, "__l", "__r", "__i", "__j").join(laid(right, "__r", "__l", "__j", "__i"), [key, "__i", "__j"])
+    return met.drop("__i", "__j")
 
-def _catalyst(spark: SparkSession):  # noqa: ANN202
-    return spark._jvm.org.apache.spark.sql.catalyst.expressions
 
+#: Bits that one key sets in its word of a Bloom filter, keys that share a word on average, and words of one filter: at
+#: most so many rows (16 bytes each) are broadcast at once, whatever the number of keys.
+BITS, KEYS, WORDS = 4, 4, 1 << 21
 
-def _expression(column: Column):  # noqa: ANN202
-    return SparkSession.active()._jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(column._jc)
 
+class Bloom:
+    """A Bloom filter of the values of one column, laid in 64-bit words and, beyond `words` of them, in several filters.
 
-def _column(spark: SparkSession, expression) -> Column:  # noqa: ANN001
-    from pyspark.sql.classic.column import Column as Classic
+    A key's hash gives its filter, its word there and BITS bits of that word. Everything is built-in expressions: the
+    words are made by bit_or (partial before the shuffle) and written as a table; test() joins one filter at a time by
+    broadcast, which has `words` rows at most. Null keys are in no filter. Of the keys that aren't there, about one in
+    a hundred passes.
+    """
 
-    return Classic(spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+    def __init__(self, keys: DataFrame, key: str, words: int = WORDS, n_keys: int | None = None) -> None:
+        n = keys.count() if n_keys is None else n_keys
+        need = max(1, -(-n // KEYS))
+        self.n_filters = -(-need // words)
+        self.n_words = min(words, need)
+        known = keys.filter(F.col(key).isNotNull()).select(*self.place(key))
+        self.table = written(known.groupBy("__filter", "__word").agg(F.bit_or("__mask").alias("__bits")), "bloom", "__filter")
+
+    def place(self, key: str) -> list[Column]:
+        """Filter, word and bits of a key's hash."""
+        h, g = F.xxhash64(F.col(key)), F.xxhash64(F.col(key), F.lit(7))
+        mask = F.expr("0L")
+        for i in range(BITS):
+            mask = mask.bitwiseOR(F.call_function("shiftleft", F.expr("1L"), F.shiftright(g, 6 * i).bitwiseAND(63).cast("int")))
+        return [F.pmod(h, F.lit(self.n_filters)).cast("int").alias("__filter"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(self.n_words)).alias("__word"), mask.alias("__mask")]
+
+    def test(self, rows: DataFrame, key: str, name: str = "maybe") -> DataFrame:
+        """rows with a boolean column: false only if the key is surely not among the filter's keys.
+
+        With several filters the rows are first laid apart by filter (written, not shuffled), so each is read once.
+        """
+        placed = rows.select("*", *self.place(key))
+        if self.n_filters > 1:
+            placed = written(placed, "bloom-rows", "__filter")
+        out = None
+        for at in range(self.n_filters):
+            mine = placed.filter(F.col("__filter") == at) if self.n_filters > 1 else placed
+            words = self.table.filter(F.col("__filter") == at).select("__word", "__bits")
+            hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))
+            part = mine.join(F.broadcast(words), "__word", "left").select(*rows.columns, (hit & F.col(key).isNotNull()).alias(name))
+            out = part if out is None else out.unionByName(part)
+        return out

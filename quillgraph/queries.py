@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import catalog
 from quillgraph.operators import instants, references
-from quillgraph.session import scratch
+from quillgraph.session import scratch, shared_folder
 from quillgraph.sources.tables import raw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +40,8 @@ def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every id of the three tables with its time text and instant; null where the text names none."""
-    return instants.normalise(_times(spark, sf_dir), raw(spark, sf_dir, "writers"), scratch(spark, "instants")).select("table_name", "row_id", "writer_id", "raw_time", "utc_micros")
+    store = f"{shared_folder(spark)}/quillgraph/instants"  # kept: the next run parses only what is new
+    return instants.normalise(_times(spark, sf_dir), raw(spark, sf_dir, "writers"), store).select("table_name", "row_id", "writer_id", "raw_time", "utc_micros")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_instants(spark, sf_dir).filter(F.col("utc_micros").isNotNull()).select("table_name", "row_id", "utc_micros")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_instants": p3_instants}
+def p3_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two runs over one new store parse: first the rows of docs and insights, then those of all three tables."""
+    store = scratch(spark, "instants")
+    times, writers = _times(spark, sf_dir), raw(spark, sf_dir, "writers")
+    sizes = []
+    for rows in (times.filter("table_name <> 'relations'"), times):
+        instants.normalise(rows, writers, store)
+        sizes.append(instants.stored(spark, store).count())
+    return spark.createDataFrame([(1, sizes[0], sizes[0]), (2, sizes[1], sizes[1] - sizes[0])], "increment int, n_words long, n_new long")
+
+
+QUERIES: dict[str, Query] = {"p3_increments": p3_increments, "p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_instants": p3_instants}
 
 _P1 = """
 WITH gone AS (SELECT table_name, row_key, max(removed_at) AS removed FROM removals GROUP BY ALL),
@@ -68,5 +80,10 @@ ORACLE: dict[str, str] = {
     "p1_found": _P1 + "SELECT table_name, field_name, row_id, kind, strftime(seen, '%Y-%m') AS period FROM judged WHERE kind IS NOT NULL",
     "p1_report": _P1 + "SELECT table_name, field_name, kind, strftime(seen, '%Y-%m') AS period, count(*) AS n_references, count(DISTINCT row_id) AS n_rows FROM judged WHERE kind IS NOT NULL GROUP BY ALL",
 }
+_TIMES = " UNION ALL ".join(f"SELECT '{t}' AS table_name, id, writer_id, {f} AS raw_time, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, writer_id DESC NULLS LAST, {f} DESC NULLS LAST) AS rn FROM {t}" for t, f in (("docs", "ingested_at"), ("relations", "last_seen"), ("insights", "updated_at")))
+ORACLE["p3_increments"] = f"""
+WITH t AS (SELECT t.table_name, t.raw_time, coalesce(w.tz_name, '') AS zone, coalesce(w.day_first, false) AS day_first FROM ({_TIMES}) t LEFT JOIN writers w USING (writer_id) WHERE rn = 1 AND raw_time IS NOT NULL),
+n AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT raw_time, zone, day_first FROM t WHERE table_name <> 'relations')) AS a, (SELECT count(*) FROM (SELECT DISTINCT raw_time, zone, day_first FROM t)) AS b)
+SELECT 1 AS increment, a AS n_words, a AS n_new FROM n UNION ALL SELECT 2, b, b - a FROM n"""
 QUERIES |= catalog.QUERIES
 ORACLE |= catalog.ORACLE

@@ -2,7 +2,7 @@ from datetime import datetime, timezone
 
 import pytest
 
-from quillgraph.operators.instants import dictionary, normalise, parse_instant
+from quillgraph.operators.instants import READING, dictionary, normalise, parse_instant, stored
 
 
 def at(*parts):
@@ -48,7 +48,10 @@ def test_rows_keep_their_number_and_store_grows(spark, tmp_path):
     store = f"file://{tmp_path}/store"
     out = {r.id: r.utc_micros for r in normalise(rows, writers, store).collect()}
     assert out == {1: at(2024, 1, 1), 2: at(2023, 12, 31, 15), 3: at(2024, 1, 1), 4: None, 5: None, 6: at(2024, 1, 1)}
-    n = spark.read.parquet(store).count()
-    normalise(rows, writers, store).count()
-    assert spark.read.parquet(store).count() == n == 4
+    assert stored(spark, store).count() == 4
+    folder = f"{store}/reading-{READING}"
+    again = spark.createDataFrame(spark.read.parquet(folder).collect(), spark.read.parquet(folder).schema)
+    again.write.mode("append").parquet(folder)  # a writer that appended the same once more
+    assert normalise(rows, writers, store).count() == 6 and stored(spark, store).count() == 4
+    assert spark.read.parquet(folder).count() == 8
     assert dictionary(rows.limit(0).selectExpr("raw_time text", "'' tz_name", "false day_first")).count() == 0
