@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe, lookalike, markup, names, packing, personal, pieces, sentences
-from quillgraph.plans.skew import bloom_of, might_contain
+from quillgraph.plans.skew import Bloom
 from quillgraph.sources.tables import last_delivery, raw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.unionByName(lookalike.look_pairs(raw(spark, sf_dir, "chunks"), "id", "body", "chunks"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name and body with the class of its look and its number of links; copies aren't expanded into pairs."""
+    names = lookalike.look_classes(raw(spark, sf_dir, "entities"), "id", "canonical_name", "entities")
+    return names.unionByName(lookalike.look_classes(raw(spark, sf_dir, "chunks"), "id", "body", "chunks"))
+
+
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored name and body with its one consistent form."""
 
@@ -84,9 +90,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     sample = raw(spark, sf_dir, "sentence_sample").select(F.col("chunk_id").alias("id")).distinct()
     chunks = raw(spark, sf_dir, "chunks").select("id", "body", "loaded_at").filter(F.col("body").isNotNull())
-    bloom, _ = bloom_of(sample.select(F.col("id").cast("string").alias("k")), "k")
-    if bloom is not None:
-        chunks = chunks.withColumn("k", F.col("id").cast("string")).filter(might_contain(spark, bloom, "k")).drop("k")
+    chunks = chunks.withColumn("k", F.col("id").cast("string"))
+    chunks = Bloom(sample.select(F.col("id").cast("string").alias("k")), "k").test(chunks, "k").filter("maybe").drop("k", "maybe")
     bodies = last_delivery(chunks.join(sample, "id", "left_semi"), "id", "body")
     return sentences.sentences(bodies, "id", "body").select(F.col("id").alias("chunk_id"), "end_pos")
 
@@ -120,5 +125,5 @@ def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.mask(raw(spark, sf_dir, "documents"), p10_found(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_masked": p10_masked}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_masked": p10_masked}
 ORACLE: dict[str, str] = {}
