@@ -61,14 +61,27 @@ _REDIRECT = re.compile(r"#REDIRECT[ \t]*(?=\[\[)", re.I)
 _WIKITABLE = re.compile(r"\{\|[^\n]*\n(.*?)(?:\n[ \t]*\|\}|$)", re.S)
 _HEADS = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5, "title": 1}
 _SILENT = frozenset("label cite citep citet ref eqref pageref bibliography bibliographystyle usepackage documentclass input include index vspace hspace nocite pagestyle".split())
+#: Nesting up to which an inner text is scanned at once; deeper ones wait their turn (see parse), so none is cut off.
 DEPTH = 24
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Elements that may stand in a document's head; any other one ends it.
+_HEAD = frozenset("title meta link base style script template noscript head".split())
+
+
+def attributes(rest: str) -> dict[str, str]:
+    """Names (small letters) and values of a tag's attributes; the first of several equal names counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
 
 
 class Node:
-    __slots__ = ("children", "end", "info", "name")
+    __slots__ = ("children", "end", "hidden", "info", "items", "name")
 
-    def __init__(self, name: str, end: str = "", info: str = "") -> None:
-        self.name, self.end, self.info, self.children = name, end, info, []
+    def __init__(self, name: str, end: str = "", info: str = "", hidden: bool = False) -> None:
+        self.name, self.end, self.info, self.hidden, self.children, self.items = name, end, info, hidden, [], 0
 
 
 class Tree:
@@ -78,6 +91,8 @@ class Tree:
         self.root = Node("root")
         self.stack = [self.root]
         self.found: set[str] = set()
+        self.later: list[tuple[Node, str]] = []
+        self.count: dict[tuple[str, str], int] = {}  # open nodes by end and name
 
     def text(self, value: str) -> None:
         if value:
@@ -88,18 +103,28 @@ class Tree:
         node.children.extend(children)
         self.stack[-1].children.append(node)
 
-    def open(self, name: str, end: str, info: str = "") -> None:
-        if len(self.stack) > 200:  # deeper nesting shows nothing more
-            return
-        node = Node(name, end, info)
+    def open(self, name: str, end: str, info: str = "", hidden: bool = False) -> Node:
+        node = Node(name, end, info, hidden)
         self.stack[-1].children.append(node)
         self.stack.append(node)
+        for key in ((end, name), (end, "")):
+            self.count[key] = self.count.get(key, 0) + 1
+        return node
+
+    def cut(self, at: int) -> None:
+        """Closes the node at a place of the stack and all within it."""
+        for node in self.stack[at:]:
+            self.count[node.end, node.name] -= 1
+            self.count[node.end, ""] -= 1
+        del self.stack[at:]
 
     def close(self, end: str, name: str | None = None) -> bool:
+        if not self.count.get((end, name or "")):
+            return False
         for at in range(len(self.stack) - 1, 0, -1):
             node = self.stack[at]
             if node.end == end and (name is None or node.name == name):
-                del self.stack[at:]
+                self.cut(at)
                 return True
             if end == "line" and node.end != "line":
                 return False
@@ -108,36 +133,58 @@ class Tree:
     def tag(self, name: str, closing: bool, rest: str) -> None:
         """One HTML tag, with the end tags that it implies."""
         if closing:
-            if name in ("p", "br") and not any(n.name == name for n in self.stack):
+            if name in ("p", "br") and not self.count.get(("tag", name)):
                 self.leaf("br")
             else:
                 self.close("tag", name)
             return
+        if name not in _HEAD and self.count.get(("tag", "head")):
+            self.close("tag", "head")
+        known = attributes(rest)
         if name in VOID:
-            alt = re.search(r"""\balt\s*=\s*(?:"([^"]*)"|'([^']*)')""", rest, re.I) if name == "img" else None
-            self.leaf(name, "", *([alt[1] or alt[2] or ""] if alt else []))
+            self.leaf(name, "", *([known["alt"]] if name == "img" and "alt" in known else []))
             return
         ends, border = IMPLIED.get(name, (set(), set()))
         if name in BLOCKS and name not in IMPLIED:
             ends = {"p"}
             border = {"td", "th", "li", "table", "div", "blockquote"}
-        for at in range(len(self.stack) - 1, 0, -1):
-            if self.stack[at].name in border:
-                break
-            if self.stack[at].name in ends and self.stack[at].end == "tag":
-                del self.stack[at:]
-                break
+        if any(self.count.get(("tag", x)) for x in ends):
+            for at in range(len(self.stack) - 1, 0, -1):
+                if self.stack[at].name in border:
+                    break
+                if self.stack[at].name in ends and self.stack[at].end == "tag":
+                    self.cut(at)
+                    break
         if rest.endswith("/"):
             self.leaf(name)
-        else:
-            hidden = re.search(r"\bhidden\b|display\s*:\s*none|visibility\s*:\s*hidden", rest, re.I)
-            self.open("hidden" if hidden and name not in HIDDEN else name, "tag", name)
-            self.stack[-1].name = "hidden" if hidden or name in HIDDEN else name
+            return
+        info = name
+        if name == "li" and self.count.get(("tag", "ol")):
+            above = next((n for n in reversed(self.stack) if n.name in ("ol", "ul", "menu")), None)
+            if above is not None and above.name == "ol":
+                above.items = int(known["value"]) if known.get("value", "").isdecimal() else above.items + 1
+                info = f"{above.items}."
+        node = self.open(name, "tag", info, name in HIDDEN or "hidden" in known or bool(_UNSEEN.search(known.get("style", ""))))
+        if name == "ol" and known.get("start", "").isdecimal():
+            node.items = int(known["start"]) - 1
+
+    def settle(self) -> None:
+        """A hidden element that nothing ends hides nothing: these texts are fragments, and its end tag is elsewhere."""
+        for node in self.stack[1:]:
+            if node.end == "tag":
+                node.hidden = False
 
 
 def parse(text: str) -> Tree:
+    """The tree of a text. Inner texts nested beyond DEPTH are scanned after the rest, each below its own node."""
     tree = Tree()
     _scan(tree, text, 0)
+    tree.settle()
+    while tree.later:
+        node, inner = tree.later.pop()
+        tree.stack, tree.count = [node], {}
+        _scan(tree, inner, 1)
+        tree.settle()
     return tree
 
 
@@ -184,11 +231,7 @@ def _line_start(tree: Tree, s: str, at: int, depth: int) -> int:
         if in_table or _RULE.match(s, following):
             found.add("markdown")
             tree.open("row", "")
-            for cell in m[1].split("|"):
-                tree.open("cell", "")
-                _scan(tree, cell.strip(), depth + 1)
-                tree.stack.pop()
-            tree.stack.pop()
+            _cells(tree, m[1].split("|"), depth)
             return m.end()
     if first in ("-", "+", "*", " ", "\t") and (m := _BULLET.match(s, at)):
         if not s.startswith("- ", m.end()):
@@ -208,21 +251,29 @@ def _line_start(tree: Tree, s: str, at: int, depth: int) -> int:
     return at
 
 
+def _cells(tree: Tree, cells: list[str], depth: int) -> None:
+    """The cells of the row just opened; what a cell leaves open ends with it."""
+    row = len(tree.stack) - 1
+    for cell in cells:
+        tree.open("cell", "")
+        _scan(tree, cell.strip(), depth + 1)
+        tree.cut(min(row + 1, len(tree.stack)))
+    tree.cut(min(row, len(tree.stack)))
+
+
 def _wiki_table(tree: Tree, body: str, depth: int) -> None:
     for row in re.split(r"(?:^|\n)[ \t]*\|-[^\n]*", body):
         cells = [c for line in row.split("\n") if line.strip()[:1] in ("|", "!") for c in re.split(r"\|\||!!", line.strip()[1:])]
         if cells:
             tree.open("row", "")
-            for cell in cells:
-                tree.open("cell", "")
-                _scan(tree, cell.strip(), depth + 1)
-                tree.stack.pop()
-            tree.stack.pop()
+            _cells(tree, cells, depth)
 
 
 def _scan(tree: Tree, s: str, depth: int) -> None:
     if depth > DEPTH:
-        tree.text(s)
+        node = Node("span")
+        tree.stack[-1].children.append(node)
+        tree.later.append((node, s))
         return
     at = _line_start(tree, s, 0, depth) if depth == 0 else 0
     n = len(s)
@@ -262,6 +313,8 @@ def _at_special(tree: Tree, s: str, at: int, depth: int) -> int:
             found.add("wiki" if name in ("ref", "references", "nowiki") else "html")
             if name in ("pre", "script", "style", "textarea", "nowiki") and not m[1]:
                 end = re.compile(rf"</{name}\s*>", re.I).search(s, m.end())
+                if not end and name in ("script", "style"):
+                    return m.end()
                 inner, stop = (s[m.end() : end.start()], end.end()) if end else (s[m.end() :], len(s))
                 if name in ("pre", "textarea", "nowiki"):
                     tree.leaf("pre" if name == "pre" else "span", "", html.unescape(re.sub(r"</?code[^<>]*>", "", inner)))
@@ -342,7 +395,7 @@ def _at_special(tree: Tree, s: str, at: int, depth: int) -> int:
             found.add("latex")
             tree.open("span", "brace")
             return m.end()
-        if any(x.end == "brace" for x in tree.stack):
+        if tree.count.get(("brace", "")):
             tree.open("braces", "brace")
             return at + 1
         return at
@@ -370,8 +423,8 @@ def _latex(tree: Tree, s: str, at: int) -> int:
         if m[1].lower() == "begin":
             tree.open("quote" if "quot" in m[2].lower() else "div", "env", m[2].lower())
         else:
-            while tree.stack[-1].end in ("line", "item"):
-                tree.stack.pop()
+            while tree.stack[-1].end == "line":
+                tree.cut(len(tree.stack) - 1)
             tree.close("env")
         return m.end()
     if m := _DISPLAY.match(s, at):
@@ -384,7 +437,7 @@ def _latex(tree: Tree, s: str, at: int) -> int:
         if name in _HEADS:
             tree.open("h", "brace", str(_HEADS[name]))
         elif name in _SILENT:
-            tree.open("hidden", "brace")
+            tree.open("span", "brace", hidden=True)
         elif name == "footnote":
             tree.open("aside", "brace")
         else:
@@ -410,114 +463,119 @@ def _width(s: str) -> int:
 class Page:
     """Writes the visible text and notes where its blocks lie."""
 
-    def __init__(self) -> None:
+    def __init__(self, depth: int = 0) -> None:
         self.out: list[str] = []
-        self.length = 0
+        self.length, self.depth = 0, depth
+        self.ends, self.shown = 0, False  # line ends at the end; whether anything is seen yet
         self.blocks: list[tuple[str, int, int]] = []
 
     def put(self, s: str) -> None:
         if s:
             self.out.append(s)
             self.length += len(s)
+            bare = s.rstrip("\n")
+            self.ends = len(s) - len(bare) + (0 if bare else self.ends)
+            self.shown = self.shown or not s.isspace()
 
     def gap(self, lines: int) -> None:
         """At least so many line ends before what follows."""
-        tail = "".join(self.out[-3:])
-        if not tail.strip() and self.length == len(tail):
-            return
-        have = len(tail) - len(tail.rstrip("\n"))
-        self.put("\n" * max(0, lines - have))
-
-    def block(self, kind: str, write) -> None:  # noqa: ANN001
-        start = self.length
-        write()
-        if self.length > start:
-            self.blocks.append((kind, start, self.length))
-
-    def children(self, node: Node) -> None:
-        i, kids = 0, node.children
-        while i < len(kids):
-            kid = kids[i]
-            if isinstance(kid, str):
-                self.put(kid)
-            elif kid.name in ("row", "tr"):
-                rows = [kid]
-                while i + 1 < len(kids) and (isinstance(kids[i + 1], Node) and kids[i + 1].name in ("row", "tr") or isinstance(kids[i + 1], str) and not kids[i + 1].strip() and i + 2 < len(kids) and isinstance(kids[i + 2], Node) and kids[i + 2].name in ("row", "tr")):
-                    i += 1
-                    if isinstance(kids[i], Node):
-                        rows.append(kids[i])
-                self.table(rows)
+        if self.shown:
+            self.put("\n" * max(0, lines - self.ends))
+
+    def children(self, root: Node) -> None:
+        """Writes all that a node shows. Steps wait on a list, not on Python's stack, so no depth is too much."""
+        work: list = self.parts(root)[::-1]
+        while work:
+            step = work.pop()
+            if isinstance(step, str):
+                self.put(step)
+            elif isinstance(step, Node):
+                work += self.steps(step)[::-1]
+            elif isinstance(step, list):
+                work += self.table(step)[::-1]
             else:
-                self.node(kid)
-            i += 1
-
-    def table(self, rows: list[Node]) -> None:
-        cells = [[_flat(c) for c in row.children if isinstance(c, Node)] for row in rows]
+                step()
+
+    def parts(self, node: Node) -> list:
+        """A node's children, neighbouring table rows as one list."""
+        out: list = []
+        blank = ""
+        for kid in node.children:
+            row = isinstance(kid, Node) and kid.name in ("row", "tr") and not kid.hidden
+            if row and out and isinstance(out[-1], list):
+                out[-1].append(kid)
+                blank = ""
+            elif isinstance(kid, str) and not kid.strip() and out and isinstance(out[-1], list):
+                blank += kid
+            else:
+                out += [blank] if blank else []
+                out.append([kid] if row else kid)
+                blank = ""
+        return out + ([blank] if blank else [])
+
+    def table(self, rows: list[Node]) -> list:
+        """The steps of a table with aligned cells; tables nested very deep keep their cells' text without alignment."""
+        if self.depth > 20:
+            return [x for row in rows for x in (lambda: self.gap(1), *[y for c in row.children if isinstance(c, Node) and not c.hidden for y in (*self.parts(c), "  ")])]
+        cells = [[self.flat(c) for c in row.children if isinstance(c, Node) and not c.hidden] for row in rows]
         cells = [r for r in cells if r]
         if not cells:
-            return
+            return []
         widths = [max(_width(r[k]) for r in cells if k < len(r)) for k in range(max(map(len, cells)))]
         lines = ["  ".join(c + " " * (widths[k] - _width(c)) for k, c in enumerate(r)).rstrip() for r in cells]
-        self.gap(1)
-        self.block("table", lambda: self.put("\n".join(lines)))
-        self.gap(1)
+        return [lambda: self.gap(1), *self.block("table", "\n".join(lines)), lambda: self.gap(1)]
+
+    def flat(self, node: Node) -> str:
+        """A cell's text on one line."""
+        page = Page(self.depth + 1)
+        page.children(node)
+        return re.sub(r"\s+", " ", "".join(page.out)).strip()
+
+    def block(self, kind: str, *steps) -> list:  # noqa: ANN002
+        """Steps whose output is noted as a block."""
+        start: list[int] = []
+
+        def end() -> None:
+            if self.length > start[0]:
+                self.blocks.append((kind, start[0], self.length))
+
+        return [lambda: start.append(self.length), *steps, end]
 
-    def node(self, node: Node) -> None:
+    def steps(self, node: Node) -> list:
+        """What writes a node: texts, nodes and calls, in order."""
         name = node.name
-        if name == "hidden":
-            return
+        if node.hidden:
+            return []
+        inner = self.parts(node)
+        gap = lambda n: lambda: self.gap(n)
         if name == "br":
-            self.gap(1)
-        elif name == "hr":
-            self.gap(2)
-        elif name == "img":
-            self.children(node)
-        elif name == "h" or name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.gap(2)
-            self.block(f"heading {node.info or name[1]}" if name == "h" else f"heading {name[1]}", lambda: self.children(node))
-            self.gap(2)
-        elif name == "li":
-            self.gap(1)
+            return [gap(1)]
+        if name == "hr":
+            return [gap(2)]
+        if name == "h" or name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            return [gap(2), *self.block(f"heading {(node.info if name == 'h' else '') or name[1]}", *inner), gap(2)]
+        if name == "li":
             mark = node.info if node.info not in ("li", "") else "•"
-            self.block("item", lambda: (self.put(mark + " "), self.children(node)))
-        elif name == "pre":
-            self.gap(1)
-            self.block("code", lambda: self.put("".join(node.children).strip("\n")))
-            self.gap(1)
-        elif name in ("code", "math", "tt", "kbd", "samp"):
-            self.block("formula" if name == "math" else "code", lambda: self.children(node))
-        elif name == "formula":
-            self.gap(1)
-            self.block("formula", lambda: self.put("".join(node.children).strip()))
-            self.gap(1)
-        elif name in ("quote", "blockquote"):
-            self.gap(1)
-            self.block("quote", lambda: self.children(node))
-            self.gap(1)
-        elif name == "note":
-            self.block("note", lambda: self.children(node))
-        elif name == "aside" and node.info != "aside":
-            self.block("note", lambda: (self.put(" ("), self.children(node), self.put(")")))
-        elif name == "braces":
-            self.put("{")
-            self.children(node)
-            self.put("}")
-        elif name in ("p", "table", "ul", "ol", "dl", "section", "article"):
-            self.gap(2)
-            self.children(node)
-            self.gap(2)
-        elif name in BLOCKS or name == "div":
-            self.gap(1)
-            self.children(node)
-            self.gap(1)
-        else:
-            self.children(node)
-
-
-def _flat(node: Node) -> str:
-    page = Page()
-    page.children(node)
-    return re.sub(r"\s+", " ", "".join(page.out)).strip()
+            return [gap(1), *self.block("item", mark + " ", *inner)]
+        if name == "pre":
+            return [gap(1), *self.block("code", "".join(node.children).strip("\n")), gap(1)]
+        if name in ("code", "math", "tt", "kbd", "samp"):
+            return self.block("formula" if name == "math" else "code", *inner)
+        if name == "formula":
+            return [gap(1), *self.block("formula", "".join(node.children).strip()), gap(1)]
+        if name in ("quote", "blockquote"):
+            return [gap(1), *self.block("quote", *inner), gap(1)]
+        if name == "note":
+            return self.block("note", *inner)
+        if name == "aside" and node.info != "aside":
+            return self.block("note", " (", *inner, ")")
+        if name == "braces":
+            return ["{", *inner, "}"]
+        if name in ("p", "table", "ul", "ol", "dl", "section", "article"):
+            return [gap(2), *inner, gap(2)]
+        if name in BLOCKS:
+            return [gap(1), *inner, gap(1)]
+        return inner
 
 
 def render(text: str | None) -> tuple[str | None, list[str], list[tuple[str, int, int]]]:

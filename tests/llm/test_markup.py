@@ -47,6 +47,38 @@ def test_deep_and_long():
     assert render("*" * 5000)[0]
 
 
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ('<p style="display:none">x</p> visible text', "visible text"),
+        ("<noscript>Vis</noscript>A", "A"),
+        ("a<template>x</template>b<iframe src=u>c</iframe>d", "abd"),
+        ("<div hidden>x<div>y</div></div>z", "z"),
+        ("<span style='visibility: hidden'>x</span>z", "z"),
+        ("<head><title>T</title><style>b</style><body>shown", "shown"),
+        ("<div hidden>never closed, so nothing says where it ends", "never closed, so nothing says where it ends"),
+        ("<script>let never closed", "let never closed"),
+        ('<p class="never-hidden">a</p><b title="a hidden gem">b</b><i aria-hidden="false">c</i>', "a\n\nbc"),
+        ("<p hidden>x<p>y", "y"),
+        ("<ol><li>a<li>b<li value=7>c<li>d</ol><ol start=4><li>e</ol><ul><li>f</ul>", "1. a\n2. b\n7. c\n8. d\n\n4. e\n\n• f"),
+        ("<table><tr><td>a<table><tr><td>in<td>x</table></td><td>b</tr></table>", "a in x  b"),
+        ("\\label{x}seen \\cite{y}too", "seen too"),
+    ],
+)
+def test_what_is_hidden_and_what_stays(text, clean):
+    assert render(text)[0].strip() == clean
+
+
+def test_any_depth_keeps_its_text():
+    for n in (30, 400, 3000):
+        assert render("<div>" * n + "x" + "</div>" * n + "y")[0].split() == ["x", "y"]
+    nested = "x"
+    for i in range(60):
+        nested = f"[[a|{nested}]]" if i % 2 else f"**{nested}**"
+    assert "x" in render(nested)[0]
+    assert "x" in render("<table><tr><td>" * 200 + "x")[0] and "x" in render("> " * 500 + "x")[0] and "x" in render("{\\bf " * 3000 + "x")[0]
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "<b>x</b>", "q"), (2, None, "q"), (3, "", "q")], "id long, body string, clean string")
     rows = {r.id: (r.clean, list(r.markup)) for r in cleaned(df, "id", "body").collect()}
