@@ -497,12 +497,12 @@ class Page:
                 step()
 
     def parts(self, node: Node) -> list:
-        """A node's children, neighbouring table rows as one list."""
+        """A node's children, neighbouring table rows as one list; a blank line parts two tables of a Markdown text."""
         out: list = []
         blank = ""
         for kid in node.children:
             row = isinstance(kid, Node) and kid.name in ("row", "tr") and not kid.hidden
-            if row and out and isinstance(out[-1], list):
+            if row and out and isinstance(out[-1], list) and (kid.name == "tr" or blank.count("\n") < 2):
                 out[-1].append(kid)
                 blank = ""
             elif isinstance(kid, str) and not kid.strip() and out and isinstance(out[-1], list):
