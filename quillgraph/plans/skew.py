@@ -9,13 +9,20 @@ from quillgraph.session import written
 
 #: A key that holds more than one row in SHARE is hot; by counting, there are fewer than SHARE such keys.
 SHARE = 500
+#: Rows that one task takes without harm, be they all of one key; a smaller table isn't counted by key.
+FEW = 50_000
 
 
 def hot_keys(df: DataFrame, key: str, total: int | None = None) -> dict:
-    """The keys that hold more than 1/SHARE of df's rows (or of total) with their counts: fewer than SHARE, whatever the data."""
+    """The keys that hold more than 1/SHARE of df's rows (or of total) with their counts: fewer than SHARE, whatever the data.
+
+    A table of FEW rows or less has none, as no key of it can burden a task.
+    """
     total = df.count() if total is None else total
+    if total <= FEW:
+        return {}
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
-    return {r[0]: r[1] for r in counts.filter(F.col("count") * SHARE > F.lit(max(total, SHARE * 20))).collect()}
+    return {r[0]: r[1] for r in counts.filter(F.col("count") * SHARE > F.lit(total)).collect()}
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left", total: int | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 from datetime import datetime
 
 from quillgraph.operators.references import orphan_report, orphans, parents, references
+from quillgraph.plans import skew
 from quillgraph.plans.skew import Bloom, join_many, join_unique
 
 T = [datetime(2024, m, 1) for m in range(1, 8)]
@@ -33,7 +34,8 @@ def test_report_counts(spark):
     assert [(r.n_references, r.n_rows, r.kind) for r in orphan_report(df).collect()] == [(5, 5, "missing")]
 
 
-def test_join_unique_keeps_hot_null_and_unmatched_rows(spark):
+def test_join_unique_keeps_hot_null_and_unmatched_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "FEW", 1000)
     left = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i}") for i in range(20_001)] + [(-1, None)], "id int, k string")
     right = spark.createDataFrame([("hot", 1), ("k2", 2)], "k string, v int")
     out = join_unique(left, right, "k", "left")
@@ -61,7 +63,8 @@ def test_bloom_filter_never_misses_and_rules_out_most(spark):
         assert tested.count() == 5001 and tested.filter("maybe").count() < 150 and tested.filter("k IS NULL AND NOT maybe").count() == 1
 
 
-def test_many_to_many_join_splits_hot_keys(spark):
+def test_many_to_many_join_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "FEW", 0)
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}") for i in range(30_000)] + [(-1, None)], "a int, k string")
     right = spark.createDataFrame([(1, "hot"), (2, "hot"), (3, "k3"), (4, "none"), (5, None)], "b int, k string")
     plain = left.join(right, "k")
