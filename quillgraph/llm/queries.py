@@ -36,9 +36,9 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every entity id with its group of ids that mean the same, and the group's size."""
+    """Every entity id with its group of ids that mean the same, and its number of links."""
     groups = names.link(raw(spark, sf_dir, "entities"), raw(spark, sf_dir, "name_forms"))
-    return groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n_ids")), "group").select("id", F.col("group").alias("group_id"), "n_ids")
+    return names.classes(groups).select("id", F.col("group").alias("group_id"), "n_links")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
