@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.bpe import Encoder, rank_file
+from quillgraph.plans.skew import join_unique
 from quillgraph.session import written
 
 #: Open windows of one partition.
@@ -64,10 +65,11 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, windows: int = WI
 
     An item is cut only if it is larger than the capacity: into full containers and one rest, which is packed like
     other items. Each partition keeps a fixed number of windows open, so memory doesn't grow with the data; closed
-    windows are final. The windows still open at a partition's end are leftovers: they become items of the next round,
-    in FAN_IN times fewer tasks, until one task is left; whole windows are merged, largest first. Items of size 0 (or
-    null) take no room and lie in some window. No rows give no rows; equal keys are separate items. Each round is a
-    written table in the shared folder, so a lost executor repeats only its own tasks.
+    windows are final. The windows still open at a partition's end are leftovers: FAN_IN partitions' leftovers meet in
+    one task of the next round, which merges whole windows, largest first, under the same bound of open windows, and
+    hands on what is then open, until one task is left. So no task, the last one included, takes more than
+    FAN_IN x windows leftovers. Items of size 0 (or null) take no room and lie in some window. No rows give no rows;
+    equal keys are separate items. Each round is a written table, so a lost executor repeats only its own tasks.
     """
     spark = items.sparkSession
     kind = items.schema[key].dataType.simpleString()
@@ -94,40 +96,47 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, windows: int = WI
             yield pa.RecordBatch.from_arrays([pa.nulls(count, keys.type), pa.nulls(count, pa.int32()), pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64()), pa.array(window, pa.int64()), pa.array(left, pa.int64())], ["key", "piece", "start", "n", "window", "room"])
 
     placed = written(items.select(key, size).mapInArrow(first, f"key {kind}, piece int, start bigint, n bigint, window bigint, room bigint"), "placed")
-    open_ = placed.filter(F.col("room").isNotNull()).select("window", F.col("window").alias("into"), "room")
+    open_ = placed.filter(F.col("room").isNotNull()).select("window", "room")
     rows = placed.filter(F.col("room").isNull()).drop("room")
     parts = placed.select(F.shiftright("window", 32).alias("p")).agg(F.max("p")).first()[0]
     if parts is None:
         return rows.select(F.col("key").alias(key), "piece", "start", "n", F.col("window").alias("container_id"))
-    moved = None
-    parts += 1
-    while True:
-        parts = -(-parts // FAN_IN)
-        step = written(_merge_round(open_, parts, capacity), "merged")
+    moved, parts, digits = None, parts + 1, 32
+    while moved is None or parts > 1:
+        parts, digits = -(-parts // FAN_IN), digits + FAN_IN.bit_length() - 1
+        step = written(_merge_round(open_, parts, digits, capacity, windows), "merged")
+        links = step.filter(F.col("room").isNull()).select("window", "into")
         # a window merged again follows its new place: the chain is short, one link a round
-        links = step.select("window", "into", "room")
-        moved = links if moved is None else moved.alias("m").join(links.alias("l"), F.col("m.into") == F.col("l.window"), "left").select("m.window", F.coalesce("l.into", "m.into").alias("into"), F.coalesce("l.room", "m.room").alias("room"))
-        if parts == 1:
-            break
-        open_ = links.groupBy(F.col("into").alias("window")).agg(F.min("room").alias("room")).select("window", F.col("window").alias("into"), "room")
-    moved = moved.select("window", "into")
-    out = rows.join(moved, "window", "left").withColumn("container_id", F.coalesce("into", "window"))
+        moved = links if moved is None else moved.alias("m").join(links.alias("l"), F.col("m.into") == F.col("l.window"), "left").select("m.window", F.coalesce("l.into", "m.into").alias("into"))
+        open_ = step.filter(F.col("room").isNotNull()).select(F.col("into").alias("window"), "room")
+    # very many items of size 0 may lie in one window
+    out = join_unique(rows, moved, "window", "left").withColumn("container_id", F.coalesce("into", "window"))
     return out.select(F.col("key").alias(key), "piece", "start", "n", "container_id")
 
 
-def _merge_round(open_: DataFrame, parts: int, capacity: int) -> DataFrame:
-    """window, into, room: the open windows of many partitions, merged whole in `parts` tasks, the fullest first."""
+def _merge_round(open_: DataFrame, parts: int, digits: int, capacity: int, windows: int) -> DataFrame:
+    """window, into, room: the open windows of FAN_IN partitions merged whole in each of `parts` tasks.
+
+    They come fullest first, and each goes to the open window it fills best; at most `windows` stay open at any time,
+    the fullest being closed. A merged window keeps the name of its first; room is set once for each window that is
+    open at the end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted(((capacity - r, w) for b in batches for w, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), reverse=True)
-        state = Windows(capacity, len(found) + 1, 0)
-        into, names = [], {}
-        for used, window in found:
-            at = state.place(used)
-            into.append(names.setdefault(at, window))  # a merged window keeps the name of its first
-        room = {at: left for left, at in state.room}
-        rooms = {name: room.get(at, 0) for at, name in names.items()}
-        yield pa.RecordBatch.from_arrays([pa.array([w for _, w in found], pa.int64()), pa.array(into, pa.int64()), pa.array([rooms[x] for x in into], pa.int64())], ["window", "into", "room"])
-
-    spread = open_.select("window", "room").repartition(parts, F.shiftright("window", 37)) if parts > 1 else open_.select("window", "room").coalesce(1)
-    return spread.mapInArrow(run, "window bigint, into bigint, room bigint")
+        state, names = Windows(capacity, windows, 0), {}
+        for batch in batches:
+            found, into = batch.column(0).to_pylist(), []
+            for window, room in zip(found, batch.column(1).to_pylist(), strict=True):
+                at = state.place(capacity - room)
+                into.append(names.setdefault(at, window))
+                while state.closed:
+                    names.pop(state.closed.pop(), None)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(into, pa.int64()), pa.nulls(len(found), pa.int64())], ["window", "into", "room"])
+        left = [(names[at], room) for room, at in state.room]
+        if left:
+            name, room = (pa.array(x, pa.int64()) for x in zip(*left, strict=True))
+            yield pa.RecordBatch.from_arrays([name, name, room], ["window", "into", "room"])
+
+    task = F.shiftright("window", digits).cast("int")
+    return open_.repartitionById(parts, task).sortWithinPartitions("room", "window").mapInArrow(run, "window bigint, into bigint, room bigint")

@@ -77,3 +77,20 @@ def test_many_rounds(spark, monkeypatch):
     for r in rows:
         used[r.container_id] = used.get(r.container_id, 0) + r.n
     assert sum(used.values()) == 600 and max(used.values()) <= 10 and len(used) <= 72
+
+
+def test_leftovers_of_any_number_of_partitions_are_bounded(spark, monkeypatch):
+    seen = []
+    merge = packing._merge_round
+
+    def watched(open_, parts, digits, capacity, windows):
+        seen.append((parts, open_.groupBy((open_.window / 2**digits).cast("long")).count().agg({"count": "max"}).first()[0]))
+        return merge(open_, parts, digits, capacity, windows)
+
+    monkeypatch.setattr(packing, "_merge_round", watched)
+    monkeypatch.setattr(packing, "FAN_IN", 4)
+    rng = random.Random(5)
+    sizes = [rng.randrange(52, 60) for _ in range(3000)]  # no two fit together, so every window stays open
+    rows = pieces(spark, sizes, 100, windows=8, parts=40)
+    assert [p for p, _ in seen] == [10, 3, 1] and max(n for _, n in seen) <= 4 * 8
+    assert len(rows) == 3000 == len({r.container_id for r in rows})
