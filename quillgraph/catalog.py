@@ -21,6 +21,17 @@ ORACLE: dict[str, str] = {}
 TERMS = ["ledger", "quiet"]
 
 
+_INDEXES: dict[tuple[str, str, str], search.TextIndex] = {}
+
+
+def _index(spark: SparkSession, d: str, table: str) -> search.TextIndex:
+    """The written full-text index of a model view, made once in a session."""
+    at = (spark.sparkContext.applicationId, d, table)
+    if at not in _INDEXES:
+        _INDEXES[at] = search.TextIndex(model.chunks(spark, d), "chunk_id", "body") if table == "chunks" else search.TextIndex(model.insights(spark, d), "insight_id", "title", "content")
+    return _INDEXES[at]
+
+
 def _query(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -139,12 +150,12 @@ def _bm25_sql(source: str, key: str, words: str, terms: list[str]) -> str:
 
 @_query(_with("SELECT chunk_id, round(rank, 6) AS rank FROM " + _bm25_sql("mc", "chunk_id", _terms_sql("body"), ["ledg"])))
 def q09_bm25_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(model.chunks(spark, d), "chunk_id", ["body"], ["ledg"]).select("chunk_id", F.round("rank", 6).alias("rank"))
+    return _index(spark, d, "chunks").search(["ledg"]).select("chunk_id", F.round("rank", 6).alias("rank"))
 
 
 @_query(_with("SELECT chunk_id, round(rank, 6) AS rank FROM " + _bm25_sql("mc", "chunk_id", _terms_sql("body"), TERMS)))
 def q10_bm25_and(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(model.chunks(spark, d), "chunk_id", ["body"], TERMS).select("chunk_id", F.round("rank", 6).alias("rank"))
+    return _index(spark, d, "chunks").search(TERMS).select("chunk_id", F.round("rank", 6).alias("rank"))
 
 
 def _first_vector(spark: SparkSession, d: str) -> list[float]:
@@ -160,6 +171,17 @@ def q11_knn_l2(spark: SparkSession, d: str) -> DataFrame:
     return search.knn(raw(spark, d, "embeddings"), "vec_id", "embedding", _first_vector(spark, d), 20).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@_query(
+    """SELECT query, vec_id, round(distance, 6) AS distance, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS INTEGER) AS pos FROM (
+    SELECT q.vec_id AS query, e.vec_id, sqrt(list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE pos <= 20"""
+)
+def q56_knn_many(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 nearest vectors to every vector whose id is divisible by 100, against all vectors."""
+    e = raw(spark, d, "embeddings")
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return search.knn_many(e, "vec_id", "embedding", asked, 20).select("query", "vec_id", F.round("distance", 6).alias("distance"), "pos")
+
+
 _KNOWN = "kn AS (SELECT mc.*, md.title FROM mc JOIN md USING (doc_id))"
 _ASCII = f"translate({{}}, '{text.UPPER}', '{text.LOWER}')"
 
@@ -178,7 +200,7 @@ _ASCII = f"translate({{}}, '{text.UPPER}', '{text.LOWER}')"
 def q12_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """The five best of full text, substrings and vectors (a top-k search)."""
     vectors = raw(spark, d, "embeddings").select((F.col("vec_id") + 1).alias("chunk_id"), "embedding")
-    found = search.hybrid(model.chunks(spark, d), model.docs(spark, d), "quiet ledger", TERMS, 5, vectors, _first_vector(spark, d))
+    found = search.hybrid(model.chunks(spark, d), model.docs(spark, d), "quiet ledger", TERMS, 5, vectors, _first_vector(spark, d), index=_index(spark, d, "chunks"))
     return found.select("pos", "chunk_id", "doc_id", "section_path", F.md5("body").alias("body_md5"), "title", "source")
 
 
@@ -196,7 +218,7 @@ def q13_read_in_book(spark: SparkSession, d: str) -> DataFrame:
     docs, chunks = model.docs(spark, d), model.chunks(spark, d)
     told = chunks.filter(F.contains(F.lower("body"), F.lit("the"))).join(docs, "doc_id").groupBy("title").count()
     row = told.agg(F.max_by("title", F.struct("count", "title"))).first()
-    return search.in_book(chunks, docs, "the", row[0] or "", ["the"], 3).select("pos", "book", "section", F.md5("body").alias("body_md5"))
+    return search.in_book(chunks, docs, "the", row[0] or "", ["the"], 3, _index(spark, d, "chunks")).select("pos", "book", "section", F.md5("body").alias("body_md5"))
 
 
 @_query(
@@ -209,7 +231,7 @@ def q13_read_in_book(spark: SparkSession, d: str) -> DataFrame:
 )
 def q14_search_notes(spark: SparkSession, d: str) -> DataFrame:
     """The five best notes (a top-k search)."""
-    return search.notes(model.insights(spark, d), "river", ["notes", "river"], 5)
+    return search.notes(model.insights(spark, d), "river", ["notes", "river"], 5, index=_index(spark, d, "insights"))
 
 
 @_query(_with(f"SELECT chunk_id, doc_id, title FROM kn WHERE contains({_ASCII.format('body')}, 'the ledger')", _KNOWN))
@@ -370,13 +392,41 @@ def _thinking(spark: SparkSession, d: str, mode: str) -> DataFrame:
     return found.select("anchor", "depth", "pos", "name", "type", "relation", "in_books", "coherence", F.round("score", 6).alias("score"))
 
 
-@_query()
+def _think_sql(wide: bool) -> str:
+    """The rounds of thinking, each as its own table over the one before."""
+    rounds = graph.HOPS_WIDE if wide else graph.HOPS_DEEP
+    with_docs, without = (0.3, 0.2) if wide else (0.6, 0.4)
+    ctes = [
+        _ADJ,
+        "topic AS (SELECT name AS anchor, entity_type AS atype, root AS aroot, source_docs AS adocs FROM me WHERE entity_id % 100 = 0)",
+        f"prints AS (SELECT name, least(sum({_WORTH}) / 50.0, 1.0) AS footprint, bool_or(source = 'record' AND count >= 2 OR source = 'navigate' AND count >= 5) OR sum({_WORTH}) >= 10 AS hot FROM mt GROUP BY name)",
+        "most AS (SELECT greatest(coalesce(max(weight), 1.0), 1.0) AS most FROM mr)",
+        "f1 AS (SELECT anchor, anchor AS src, 1 AS place FROM topic)",
+        "s1 AS (SELECT anchor, anchor AS dst FROM topic)",
+    ]
+    for n in range(1, rounds + 1):
+        fade = f"exp(-{n} / 2.0)"
+        compat = "CASE WHEN type IN ('', 'unknown') THEN 0.2 WHEN atype = type THEN 1.0 WHEN split_part(type, '.', 1) IN ('stem_branch', 'element') THEN 0.1 WHEN aroot = split_part(type, '.', 1) THEN 0.7 ELSE 0.2 END"
+        fit = f"CASE WHEN len(adocs) > 0 THEN len(list_intersect(adocs, sd)) / greatest(len(adocs), 1) * 0.5 + ({compat}) * 0.3 + {fade} * 0.2 ELSE ({compat}) * 0.6 + {fade} * 0.4 END"
+        score = f"least(weight / most, 1.0) * {0.5 ** (n - 1)} * 0.5 + coalesce(footprint, 0) * 0.3 + least(coalesce(in_books, 0) / 50.0, 1.0) * 0.2" if wide else "fit"
+        ctes += [
+            f"m{n} AS (SELECT f.anchor, a.dst, min((f.place, a.side, a.rel_id)) AS ord, arg_min(a.relation_type, (f.place, a.side, a.rel_id)) AS relation, arg_min(a.weight, (f.place, a.side, a.rel_id)) AS weight FROM f{n} f JOIN adj a USING (src) WHERE NOT EXISTS (SELECT 1 FROM s{n} s WHERE s.anchor = f.anchor AND s.dst = a.dst) GROUP BY ALL)",
+            f"c{n} AS (SELECT *, {fit} AS fit FROM (SELECT m.*, atype, aroot, adocs, coalesce(e.entity_type, 'unknown') AS type, coalesce(e.source_docs, []) AS sd, e.cross_doc_count AS in_books, p.footprint, coalesce(p.hot, false) AS hot, most FROM m{n} m JOIN topic USING (anchor) LEFT JOIN me e ON e.name = m.dst LEFT JOIN prints p ON p.name = m.dst, most))",
+            f"k{n} AS (SELECT * FROM (SELECT anchor, {n} AS depth, dst, type, relation, coalesce(in_books, 0) AS in_books, fit, {score} AS score, hot, row_number() OVER (PARTITION BY anchor ORDER BY {score} DESC, ord) AS pos FROM c{n} WHERE fit >= CASE WHEN len(adocs) > 0 THEN {with_docs} ELSE {without} END) WHERE pos <= {graph.WIDTH if wide else 1})",
+            f"s{n + 1} AS (SELECT * FROM s{n} UNION ALL SELECT anchor, dst FROM {'c' if wide else 'k'}{n})",
+            f"f{n + 1} AS (SELECT anchor, dst AS src, pos AS place FROM k{n}" + (f" WHERE anchor NOT IN (SELECT anchor FROM k{n} WHERE hot)" if wide else "") + ")",
+        ]
+    every = " UNION ALL ".join(f"SELECT * FROM k{n}" for n in range(1, rounds + 1))
+    return _with(f"SELECT anchor, CAST(depth AS INTEGER) AS depth, CAST(pos AS INTEGER) AS pos, dst AS name, type, relation, CAST(in_books AS INTEGER) AS in_books, round(fit, 3) AS coherence, round(score, 6) AS score FROM ({every})", ", ".join(c.replace(" AS (", " AS MATERIALIZED (", 1) for c in ctes))
+
+
+@_query(_think_sql(True))
 def q29_think_divergent(spark: SparkSession, d: str) -> DataFrame:
     """Breadth-first thinking from the query set."""
     return _thinking(spark, d, "divergent")
 
 
-@_query()
+@_query(_think_sql(False))
 def q30_think_deep(spark: SparkSession, d: str) -> DataFrame:
     """Chains of the most coherent neighbours from the query set."""
     return _thinking(spark, d, "deep")

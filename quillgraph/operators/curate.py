@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.domain import is_noise, valid_triplets
 from quillgraph.functions.text import ascii_lower, strip
+from quillgraph.plans.skew import Bloom, join_many, join_unique
+from quillgraph.session import written
 
 MOST_CHUNKS, PER_PROMPT, PROMPT_CHARS, JOINT = 30, 3, 15_000, "\n\n---\n\n"
 BATCH, BATCH_CHARS, TEXT_CHARS, LEAST_CHARS = 32, 80_000, 30_000, 10
@@ -34,8 +36,8 @@ def capitalised(prompt: str) -> dict:
     return {"entities": [{"name": n, "type": "concept", "aliases": [], "description": ""} for n in names], "relations": [{"entity_a": a, "entity_b": b, "type": "MENTIONS"} for a, b in zip(names, names[1:], strict=False)]}
 
 
-def sample(chunks: DataFrame, mode: str = "sample", rate: float = 0.3) -> DataFrame:
-    """chunk_id, body: all chunks (full) or evenly spaced ones, max(10, sqrt(characters) * rate) of them; at most MOST_CHUNKS.
+def sample(chunks: DataFrame, mode: str = "sample", rate: float = 0.3, most: int = MOST_CHUNKS) -> DataFrame:
+    """chunk_id, body: all chunks (full) or evenly spaced ones, max(10, sqrt(characters) * rate) of them; at most `most` (MOST_CHUNKS).
 
     Two passes: the count and sum first, then the rows whose number (by id) is floor(i * step); numbers come from one
     ordered window over ids alone, bodies join at the end.
@@ -44,12 +46,12 @@ def sample(chunks: DataFrame, mode: str = "sample", rate: float = 0.3) -> DataFr
     total, chars = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     target = max(10, int(chars**0.5 * rate))
     if mode == "full" or target >= total:
-        return chunks.orderBy("chunk_id").limit(MOST_CHUNKS).select("chunk_id", "body")
+        return chunks.orderBy("chunk_id").limit(most).select("chunk_id", "body")
     step = total / target
-    wanted = [int(i * step) for i in range(min(target, MOST_CHUNKS))]
+    wanted = [int(i * step) for i in range(min(target, most))]
     # only the first max(wanted) + 1 ids can be meant: a top-k, not a global window
     low = ids.orderBy("chunk_id").limit(max(wanted) + 1).withColumn("rn", F.row_number().over(Window.orderBy("chunk_id")) - 1)
-    return chunks.join(F.broadcast(low.filter(F.col("rn").isin(wanted)).select("chunk_id")), "chunk_id").select("chunk_id", "body")  # at most MOST_CHUNKS ids
+    return chunks.join(F.broadcast(low.filter(F.col("rn").isin(wanted)).select("chunk_id")), "chunk_id").select("chunk_id", "body")  # at most `most` ids
 
 
 def prompts(sampled: DataFrame) -> DataFrame:
@@ -152,56 +154,34 @@ def new_relations(old: DataFrame, found: DataFrame) -> DataFrame:
     return once.join(old.select("entity_a", "entity_b", "relation_type"), ["entity_a", "entity_b", "relation_type"], "left_anti").select("entity_a", "entity_b", "relation_type", F.coalesce("schema_weight", F.lit(1.0)).alias("weight"))
 
 
-#: Names that one automaton holds; more are looked for in blocks, each a pass over the texts.
-BLOCK = 200_000
+#: Characters of the gram that a name and the texts with it share; shorter names are met whole.
+GRAM = 4
 
 
-def mention_counts(names: DataFrame, chunks: DataFrame, block: int = BLOCK) -> DataFrame:
+def mention_counts(names: DataFrame, chunks: DataFrame) -> DataFrame:
     """name, n_docs: in how many documents the name occurs, by containment without ASCII case; names that don't occur are left out.
 
-    Names (those a run touched) are taken in blocks of bounded size, by hash; each block becomes one automaton that every
-    task runs over its texts once, so no text is multiplied, shuffled or tried name by name. What is shuffled are the
-    hits, once for each task, document and name. Empty names and null documents don't count.
+    A name is met by the first GRAM characters it has. Every text gives its distinct grams (of the few lengths that
+    names ask for); a Bloom filter of the names' grams drops most before anything is shuffled, the rest are joined with
+    the names, and containment is checked on the bodies of the chunks that met a name. Nothing but those lengths
+    reaches the driver, so neither names nor texts are limited. Empty names and null documents don't count.
     """
     folded = names.select("name", ascii_lower(F.col("name")).alias("low")).filter("low <> ''").distinct()
-    total = folded.count()
-    blocks = max(1, -(-total * 2 // block)) if total > block // 2 else 1
-    texts = chunks.filter("body <> '' AND doc_id IS NOT NULL").select(F.col("doc_id").cast("string"), "body")
-    hits = None
-    for at in range(blocks):
-        rows = folded.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == at).collect()  # at most about `block` names
-        wanted: dict[str, list[str]] = {}
-        for r in rows:
-            wanted.setdefault(r["low"], []).append(r["name"])
-        part = texts.mapInArrow(_finder(wanted), "name string, doc_id string")
-        hits = part if hits is None else hits.unionByName(part)
+    keyed = written(folded.withColumn("gram", F.substring("low", 1, GRAM)), "mention-names")
+    chunks = chunks if "chunk_id" in chunks.columns else chunks.withColumn("chunk_id", F.monotonically_increasing_id())
+    texts = chunks.filter("body <> '' AND doc_id IS NOT NULL").select("chunk_id", F.col("doc_id").cast("string"), ascii_lower(F.col("body")).alias("body"))
+    texts = written(texts, "mention-texts")
+    sizes = sorted(r[0] for r in keyed.select(F.length("gram")).distinct().collect())  # 1 to GRAM
+    if not sizes:
+        return folded.select("name", F.lit(0).cast("long").alias("n_docs")).filter(F.lit(False))
+    every = F.flatten(F.array(*[F.array_distinct(F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in sizes]))
+    grams = texts.select("chunk_id", F.explode(every).alias("gram"))
+    some = written(Bloom(keyed, "gram").test(grams, "gram").filter("maybe").select("chunk_id", "gram"), "mention-grams")
+    met = written(join_many(some, keyed, "gram").select("chunk_id", "name", "low").distinct(), "mention-pairs")
+    hits = join_unique(met, texts, "chunk_id", "inner").filter(F.contains("body", "low"))
     return hits.groupBy("name").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
-def _finder(wanted: dict[str, list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    fold = {ord(a): ord(a) + 32 for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            import ahocorasick
-
-            machine = ahocorasick.Automaton()
-            for low in wanted:
-                machine.add_word(low, low)
-            machine.make_automaton()
-            find = (lambda text: {low for _, low in machine.iter(text)}) if wanted else (lambda text: set())
-        except ImportError:  # slower, the same result
-            find = lambda text: {low for low in wanted if low in text}
-        for batch in batches:
-            found = set()
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.update((name, doc) for low in find(body.lower() if body.isascii() else body.translate(fold)) for name in wanted[low])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*sorted(found), strict=True)], ["name", "doc_id"])
-
-    return run
-
-
 def verified_counts(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """name, n_docs: how many of an entity's source documents exist."""
     told = entities.select("name", F.explode("source_docs").alias("d")).distinct()
@@ -271,9 +251,15 @@ def connect(entities: DataFrame, relations: DataFrame, wanted: DataFrame, weight
     return ends.join(relations, ["entity_a", "entity_b", "relation_type"], "left_anti").select("entity_a", "entity_b", "relation_type", F.lit(weight).alias("weight"))
 
 
-def annotate(relations: DataFrame, remarks: DataFrame) -> DataFrame:
-    """rel_id, notes: remarks (entity_a, entity_b, relation_type or null for all, note) on edges, each note once."""
+def annotate(relations: DataFrame, remarks: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """rel_id, notes: remarks (entity_a, entity_b, relation_type or null for all, note) on edges, each note once.
+
+    Stored notes (rel_id, notes: array) are kept and united with the new ones; edges with neither don't come out.
+    """
     r = relations.alias("r")
     n = remarks.alias("n")
     met = r.join(n, (F.col("r.entity_a") == F.col("n.entity_a")) & (F.col("r.entity_b") == F.col("n.entity_b")) & (F.col("n.relation_type").isNull() | (F.col("r.relation_type") == F.col("n.relation_type"))))
-    return met.groupBy("r.rel_id").agg(F.array_sort(F.collect_set("n.note")).alias("notes"))
+    every = met.select("r.rel_id", "n.note")
+    if stored is not None:
+        every = every.unionByName(stored.select("rel_id", F.explode("notes").alias("note")))
+    return every.groupBy("rel_id").agg(F.array_sort(F.collect_set("note")).alias("notes"))

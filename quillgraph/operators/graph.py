@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.domain import root_of
 from quillgraph.functions.text import has_text
 from quillgraph.operators.search import entities_like
+from quillgraph.session import written
 
 HOPS_WIDE, HOPS_DEEP, WIDTH, DECAY = 6, 10, 3, 2.0
 FOOTPRINT = {"record": 3, "navigate": 2, "search": 1}
@@ -44,23 +45,27 @@ def navigate(relations: DataFrame, entities: DataFrame, seeds: DataFrame, depth:
     """
     adj = adjacency(relations)
     known = entities.select(F.col("name").alias("dst"), F.lit(True).alias("has_row"))
-    best_first = [F.col("weight").desc(), F.col("side"), F.col("rel_id")]
+    best_first = Window.partitionBy("seed").orderBy(F.col("weight").desc(), "side", "rel_id")
 
-    def expand(frontier: DataFrame) -> DataFrame:
+    def expand(frontier: DataFrame, anchored: int, exploration: int) -> DataFrame:
+        # a literal limit a bucket: each task cuts a hub's edges before they are shuffled
         met = adj.join(frontier, "src").join(known, "dst", "left")
-        bucket = F.when(F.coalesce("has_row", F.lit(False)) & (F.col("weight") >= 1.0), "anchored").otherwise("exploration")
-        return met.withColumn("bucket", bucket).withColumn("pos", F.row_number().over(Window.partitionBy("seed", "bucket").orderBy(*best_first)))
+        firm = F.coalesce("has_row", F.lit(False)) & F.coalesce(F.col("weight") >= 1.0, F.lit(False))
+        first = met.filter(firm).withColumns({"bucket": F.lit("anchored"), "pos": F.row_number().over(best_first)}).filter(F.col("pos") <= anchored)
+        return first.unionByName(met.filter(~firm).withColumns({"bucket": F.lit("exploration"), "pos": F.row_number().over(best_first)}).filter(F.col("pos") <= exploration))
 
     shown = ["seed", "bucket", "hop", "pos", F.col("dst").alias("neighbor"), F.col("relation_type").alias("relation"), "weight"]
     start = seeds.join(entities.select(F.col("name").alias("seed")), "seed", "left_semi").withColumn("src", F.col("seed"))
-    one = expand(start).withColumn("hop", F.lit(1))
+    one = expand(start, 15, 20).withColumn("hop", F.lit(1))
     if depth < 2:
-        return one.select(*shown).filter("pos <= CASE WHEN bucket = 'anchored' THEN 15 ELSE 20 END").drop("hop")
+        return one.select(*shown).drop("hop")
+    one = written(one, "first-hop")
     step = one.filter("bucket = 'anchored' AND pos = 1").select("seed", F.col("dst").alias("src"))
-    two = expand(step).withColumn("hop", F.lit(2)).filter("pos <= 10")
+    two = expand(step, 10, 10).withColumn("hop", F.lit(2))
     two = two.withColumn("relation_type", F.when(F.col("bucket") == "anchored", F.concat("seed", F.lit("→"), "src", F.lit("→"))).otherwise(F.col("relation_type")))
-    cut = one.join(step.select("seed", F.lit(True).alias("goes_on")), "seed", "left").filter("goes_on IS NULL OR pos <= CASE WHEN bucket = 'anchored' THEN 15 ELSE 10 END")
+    cut = one.join(step.select("seed", F.lit(True).alias("goes_on")), "seed", "left").filter("goes_on IS NULL OR bucket = 'anchored' OR pos <= 10")
     every = cut.select(*shown).unionByName(two.select(*shown))
+    # at most 45 rows a seed are left
     every = every.withColumn("pos", F.row_number().over(Window.partitionBy("seed", "bucket").orderBy("hop", "pos")))
     return every.filter("pos <= CASE WHEN bucket = 'anchored' THEN 15 ELSE 20 END").drop("hop")
 
@@ -92,8 +97,11 @@ def anchors(entities: DataFrame, queries: DataFrame) -> DataFrame:
 
     Tiers: equal name; equal alias; an equal name or alias of one of its words, in order; the longest of its prefixes
     of 6 down to 2 characters that a name or alias contains. Ties go to the least entity id. The first three tiers are
-    equi-joins on exploded names; prefixes are looked for by containment among the queries still open, which are few.
+    equi-joins on exploded names; a prefix is met by the pairs of neighbouring characters of names that equal its first
+    two, and containment is checked among those that met.
     """
+    entities = written(entities.select("entity_id", "name", "entity_type", "aliases"), "anchor-entities")
+    queries = written(queries.select("query").distinct(), "anchor-queries")
     known = entities.select("entity_id", "name", "entity_type", F.col("name").alias("term"), F.lit(0).alias("by_alias")).unionByName(entities.select("entity_id", "name", "entity_type", F.explode("aliases").alias("term"), F.lit(1).alias("by_alias")))
     whole = queries.select("query", F.col("query").alias("term"), F.lit(0).alias("place"))
     words = queries.select("query", F.posexplode(F.filter(F.split("query", r"\s+"), lambda w: w != "")).alias("place", "term"))
@@ -101,9 +109,11 @@ def anchors(entities: DataFrame, queries: DataFrame) -> DataFrame:
     by_word = words.join(known, "term").withColumn("tier", F.lit(3))
     closed = exact.select("query").unionByName(by_word.select("query")).distinct()
     prefixes = queries.join(closed, "query", "left_anti").filter(F.length("query") >= 2).select("query", F.explode(F.sequence(F.least(F.length("query"), F.lit(6)), F.lit(2))).alias("n")).withColumn("term", F.substring(F.col("query"), F.lit(1), F.col("n")))
-    asked = prefixes.select(F.lower("term").alias("prefix")).distinct()
-    low = known.select(F.lower("term").alias("low"), "entity_id", "name", "entity_type")
-    hits = low.join(asked, F.contains("low", "prefix")).groupBy("prefix").agg(F.min_by(F.struct("entity_id", "name", "entity_type"), "entity_id").alias("e"))
+    asked = prefixes.select(F.lower("term").alias("prefix")).distinct().withColumn("pair", F.substring("prefix", 1, 2))
+    pairs = F.array_distinct(F.regexp_extract_all(F.lower("term"), F.lit("(?s)(?=(..))"), F.lit(1)))
+    low = known.select(F.lower("term").alias("low"), "entity_id", "name", "entity_type", F.explode(pairs).alias("pair"))
+    met = low.join(asked, "pair").filter(F.contains("low", "prefix"))
+    hits = met.groupBy("prefix").agg(F.min_by(F.struct("entity_id", "name", "entity_type"), "entity_id").alias("e"))
     like = prefixes.join(hits, F.lower("term") == F.col("prefix")).select("query", "e.*", F.lit(4).alias("tier"), (6 - F.col("n")).alias("place"))
     columns = ["query", "entity_id", "name", "entity_type", "tier", "place"]
     every = exact.select(*columns).unionByName(by_word.select(*columns)).unionByName(like.select(*columns))
@@ -134,8 +144,6 @@ def think(relations: DataFrame, entities: DataFrame, traces: DataFrame, topic: D
     counts, by frontier order, side and edge id. A loop of at most max_depth rounds; each is one join over the adjacency
     and a written table, so plans don't grow and nothing is collected.
     """
-    from quillgraph.session import written
-
     wide = mode == "divergent"
     depth_limit = max_depth or (HOPS_WIDE if wide else HOPS_DEEP)
     limit = F.when(F.size("anchor_docs") > 0, 0.3 if wide else 0.6).otherwise(0.2 if wide else 0.4)
@@ -147,21 +155,21 @@ def think(relations: DataFrame, entities: DataFrame, traces: DataFrame, topic: D
     frontier = topic.select("anchor", F.col("anchor").alias("src"), F.lit(1).alias("place"))
     found = None
     for depth in range(1, depth_limit + 1):
-        met = adj.join(frontier, "src").join(seen, ["anchor", "dst"], "left_anti")
-        first = Window.partitionBy("anchor", "dst").orderBy("place", "side", "rel_id")
-        order = Window.partitionBy("anchor").orderBy("place", "side", "rel_id")
-        met = met.withColumn("ord", F.row_number().over(order))
-        # deep thinking weighs every edge but needs each name once, as all edges to it are equally coherent
-        met = met.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn").join(topic, "anchor").join(facts, "dst", "left").join(prints, "dst", "left").crossJoin(F.broadcast(most))  # most is one row
+        # the frontier is a few names an anchor; the first edge to each name is kept by an aggregate that is partial on the map side
+        met = adj.join(frontier, "src").join(seen, ["anchor", "dst"], "left_anti").groupBy("anchor", "dst")
+        met = met.agg(F.min(F.struct("place", "side", "rel_id")).alias("ord"), F.min_by(F.struct("relation_type", "weight"), F.struct("place", "side", "rel_id")).alias("e")).select("anchor", "dst", "ord", "e.*")
+        met = met.join(topic, "anchor").join(facts, "dst", "left").join(prints, "dst", "left").crossJoin(F.broadcast(most))  # most is one row
         kind, docs = F.coalesce("entity_type", F.lit("unknown")), F.coalesce("source_docs", F.array().cast("array<string>"))
         scored = met.withColumn("fit", coherence(F.col("anchor_type"), F.col("anchor_docs"), kind, docs, depth)).withColumn("close", F.col("fit") >= limit)
         strength = F.least(F.col("weight") / F.col("most"), F.lit(1.0)) * (0.5 ** (depth - 1))
         score = strength * 0.5 + F.coalesce("footprint", F.lit(0.0)) * 0.3 + F.least(F.coalesce("cross_doc_count", F.lit(0)) / 50.0, F.lit(1.0)) * 0.2
         scored = scored.withColumn("score", score if wide else F.col("fit"))
-        best = Window.partitionBy("anchor").orderBy(F.col("close").desc(), F.col("score").desc(), "ord")
-        step = scored.withColumn("pos", F.row_number().over(best)).select("anchor", F.lit(depth).alias("depth"), "pos", "dst", kind.alias("type"), F.col("relation_type").alias("relation"), F.coalesce("cross_doc_count", F.lit(0)).alias("in_books"), "fit", "score", "close", F.coalesce("hot", F.lit(False)).alias("hot"))
-        step = written(step, "thought")
-        kept = step.filter("close").filter(F.col("pos") <= (WIDTH if wide else 1))
+        scored = scored.select("anchor", F.lit(depth).alias("depth"), "dst", kind.alias("type"), F.col("relation_type").alias("relation"), F.coalesce("cross_doc_count", F.lit(0)).alias("in_books"), "fit", "score", "close", "ord", F.coalesce("hot", F.lit(False)).alias("hot"))
+        best = Window.partitionBy("anchor").orderBy(F.col("score").desc(), "ord")
+        if wide:  # every neighbour met counts as seen, so all are kept for the later rounds
+            step = written(scored, "thought")
+        top = (step if wide else scored).filter("close").withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= (WIDTH if wide else 1)).drop("close", "ord")
+        kept = top if wide else written(top, "thought")
         found = kept if found is None else found.unionByName(kept)
         seen = seen.unionByName((step if wide else kept).select("anchor", "dst"))
         going = kept
