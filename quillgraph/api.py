@@ -9,9 +9,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph import providers
 from quillgraph.functions.text import even_space, without_residue
-from quillgraph.operators import chunking, curate, graph, notes, search
-from quillgraph.sources import files, model
+from quillgraph.operators import build, chunking, curate, graph, notes, search
+from quillgraph.session import written
+from quillgraph.sources import files, model, note_files
 
 MOST, USUAL = 20, 3
 
@@ -48,6 +50,9 @@ class Engine:
     books_dir: str = "."
     tokenizer: Callable[[str], list[str]] | None = str.split
     rerank: Callable[[str, list[str]], list[tuple[int, float]]] | None = None
+    embedding: providers.Embedding | None = None
+    vectors: DataFrame | None = None
+    note_vectors: DataFrame | None = None
     extractor: curate.Extractor = field(default=curate.capitalised)
     hooks: Hooks = field(default_factory=Hooks)
 
@@ -64,11 +69,12 @@ class Engine:
         if not isinstance(query, str) or not query.strip():
             raise ValueError("query is empty")
         n, terms = clamp(top_n), self._terms(query)
+        asked = providers.embed_query(self.embedding, query)
         if source:
             rows = search.in_book(self.chunks, self.docs, query, source, terms, n).orderBy("pos").collect()
             out = {"results": [{"book": r.book, "section": r.section, "body": r.body} for r in rows]}
             return out if rows else out | {"message": f"nothing found in {source}"}
-        rows = search.hybrid(self.chunks, self.docs, query, terms, n, body_max=None, rerank=self.rerank).orderBy("pos").collect()
+        rows = search.hybrid(self.chunks, self.docs, query, terms, n, self.vectors, asked, body_max=None, rerank=self.rerank).orderBy("pos").collect()
         return {"results": [{"book": r.title, "section": r.section_path, "body": r.body} for r in rows]}
 
     def think(self, anchor: str, mode: str = "divergent", max_depth: int | None = None, book: str | None = None) -> dict:
@@ -131,15 +137,45 @@ class Engine:
         fresh = cut.withColumn("chunk_id", (F.lit(base) + F.row_number().over(Window.partitionBy("doc_id").orderBy("line_start", "section_path"))).cast("long"))  # one book's sections
         self.chunks = self.chunks.join(gone, "doc_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
         self.docs = files.replace_by_path(self.docs, doc.drop("text"))
-        found, ties = curate.extract(curate.prompts(curate.sample(fresh.select("chunk_id", "body"))), self.extractor)
-        found = curate.merge_entities(found)
-        for hook in self.hooks.post_extract:
-            found, ties = hook(found, ties)
-        edges = curate.new_relations(self.relations, curate.checked_relations(ties, found, self.hooks.validators))
-        self.entities = curate.upsert_entities(self.entities, found, [str(top + 1)])
-        n_edges = edges.count()
+        out = {"ok": True, "doc_id": top + 1, "title": head.title, "author": head.author, "chunks": fresh.count(), "vectors": self._embed(fresh, gone)}
+        try:
+            made = build.build(self.docs, self.chunks, self.entities, self.relations, [top + 1], self.extractor, post=self.hooks.post_extract, validators=self.hooks.validators)
+        except Exception as e:  # the book is in all the same
+            return out | {"entities_found": 0, "relations_added": 0, "graph_error": str(e)[:300]}
+        self.entities, self.relations = made.entities, made.relations
+        return out | {"entities_found": made.stats["entities_merged"], "relations_added": made.stats["relations_added"], "graph_error": None}
+
+    def _embed(self, fresh: DataFrame, gone: DataFrame) -> int:
+        """Vectors of new chunks; those of replaced documents' chunks go. Without an embedding there are none."""
+        if self.embedding is None:
+            return 0
+        made = written(curate.embed(fresh, "chunk_id", "body", self.embedding, self.embedding.width), "vectors")
+        old = self.vectors.join(self.chunks.select("chunk_id"), "chunk_id", "left_semi") if self.vectors is not None else None
+        self.vectors = made if old is None else old.unionByName(made)
+        return made.count()
+
+    def search_notes(self, query: str, top_n: object = None) -> list[dict]:
+        """Notes by full text, substrings and vectors."""
+        rows = search.notes(self.insights, query, self._terms(query) or [], clamp(top_n), self.note_vectors, providers.embed_query(self.embedding, query))
+        return [{"slug": r.slug, "title": r.title, "content": r.content} for r in rows.orderBy("pos").collect()]
+
+    def link_notes(self) -> dict:
+        """Extracts names from notes that have none, links them, and brings the counts of what they name up to date."""
+        told = written(notes.extracted(self.insights, self.extractor), "notes")
+        fresh, edges, prints = notes.link(told, self.entities, self.relations)
+        fresh, edges = written(fresh, "note-entities"), written(edges, "note-edges")
+        names = told.select(F.explode("entities").alias("name")).distinct()
+        self.insights = told
         self.relations = self.relations.unionByName(edges, allowMissingColumns=True)
-        return {"ok": True, "doc_id": top + 1, "title": head.title, "author": head.author, "chunks": fresh.count(), "entities_found": found.count(), "relations_added": n_edges}
+        self.entities = written(build.counted(self.entities.unionByName(fresh, allowMissingColumns=True), self.chunks, self.docs, names), "entities")
+        now = self.traces.schema["last_seen"].dataType
+        self.traces = notes.merge_traces(self.traces, prints.select("name", "source", F.col("count").cast("long").alias("count"), F.current_timestamp().cast(now).alias("last_seen")))
+        return {"registered": fresh.count(), "edges_added": edges.count()}
+
+    def sync_notes(self, folder: str) -> dict:
+        """Brings the notes in step with a folder of note files."""
+        self.insights, counts = note_files.sync(self.spark, folder, self.insights)
+        return counts
 
     def study(self) -> dict:
         """Row counts and relation types."""
@@ -148,7 +184,7 @@ class Engine:
 
     def call(self, name: str, arguments: dict) -> dict:
         """A tool by name with checked arguments."""
-        tools = {"read": self.read, "think": self.think, "navigate": self.navigate, "record": self.record, "ingest": self.ingest, "study": self.study}
+        tools = {"read": self.read, "think": self.think, "navigate": self.navigate, "record": self.record, "ingest": self.ingest, "study": self.study, "search_notes": self.search_notes, "link_notes": self.link_notes, "sync_notes": self.sync_notes}
         if name not in tools:
             raise ValueError(f"unknown tool: {name}")
         try:

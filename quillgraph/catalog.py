@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import domain, text
-from quillgraph.operators import chunking, curate, graph, notes, search
+from quillgraph.operators import build, chunking, curate, graph, notes, search
 from quillgraph.session import scratch
-from quillgraph.sources import files, model
+from quillgraph.sources import files, model, note_files
 from quillgraph.sources.tables import raw
 from quillgraph.streaming import traces as streams
 
@@ -108,11 +108,15 @@ def q05_html_text(spark: SparkSession, d: str) -> DataFrame:
     return model.chunks(spark, d).select("chunk_id", F.md5(text.html_text(F.col("body"))).alias("text_md5"))
 
 
-@_query(
-    r"""SELECT doc_id, md5(regexp_replace(regexp_replace(x, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM (SELECT doc_id,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\{\.calibre\d+\}', '', 'g'), '(?im)^(?:ISBN|字数|Word Count)[:\s].*$', '', 'g'), '(?i)!\[.*?\]\(.*?\)', '', 'g'), '(?i)\[\]\(.*?\)', '', 'g'),
-      '(?im)(?:关注|加入|订阅)\s*.{0,30}(?:频道|群组|telegram|公众号).{0,80}', '', 'g') AS x FROM documents WHERE text IS NOT NULL)"""
-)
+def _residue_sql(column: str) -> str:
+    """The fixed patterns for DuckDB, whose flag for Unix line ends goes without saying."""
+    for pattern in text.BOOK_RESIDUE:
+        flags, rest = pattern[2:].split(")", 1)
+        column = f"regexp_replace({column}, '(?{flags.replace('d', '')}){rest}', '', 'g')"
+    return column
+
+
+@_query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(x, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM (SELECT doc_id, {_residue_sql('text')} AS x FROM documents WHERE text IS NOT NULL)""")
 def q06_clean_hooks(spark: SparkSession, d: str) -> DataFrame:
     return raw(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(text.even_space(text.without_residue(F.col("text")))).alias("text_md5"))
 
@@ -337,11 +341,15 @@ def q25_footprint(spark: SparkSession, d: str) -> DataFrame:
     return graph.footprint(model.traces(spark, d)).select("name", F.round("footprint", 6).alias("footprint"), "hot")
 
 
-@_query(_with("SELECT name, source, CAST(2 * count AS BIGINT) AS count, last_seen FROM mt"))
+@_query(
+    _with("SELECT name, source, CAST(sum(count) AS BIGINT) AS count, max(last_seen) AS last_seen FROM (SELECT * FROM mt UNION ALL SELECT name, 'record', count + 1, last_seen + INTERVAL 3 DAY FROM mt WHERE count > 2 UNION ALL SELECT name || ' II', source, 1, last_seen - INTERVAL 9 DAY FROM mt) GROUP BY name, source")
+)
 def q26_merge_traces(spark: SparkSession, d: str) -> DataFrame:
-    """Trace counters after the same log came once more."""
+    """Trace counters after a later log: more records of what was met often, and names that are new."""
     traces = model.traces(spark, d)
-    return notes.merge_traces(traces, traces)
+    more = traces.filter("count > 2").select("name", F.lit("record").alias("source"), (F.col("count") + 1).alias("count"), (F.col("last_seen") + F.expr("INTERVAL 3 DAY")).alias("last_seen"))
+    fresh = traces.select(F.concat("name", F.lit(" II")).alias("name"), "source", F.lit(1).cast("long").alias("count"), (F.col("last_seen") - F.expr("INTERVAL 9 DAY")).alias("last_seen"))
+    return notes.merge_traces(traces, more.unionByName(fresh))
 
 
 _ASKED = "asked AS (SELECT name AS query FROM me WHERE entity_id % 100 = 0 UNION SELECT aliases[1] FROM me WHERE entity_id % 100 = 0 AND len(aliases) > 0 UNION SELECT 'about ' || substr(name, 1, 60) FROM me WHERE entity_id % 100 = 0 UNION SELECT substr(name, 1, 5) || 'zzqq' FROM me WHERE entity_id % 100 = 0)"
@@ -443,7 +451,13 @@ def q31_sample(spark: SparkSession, d: str) -> DataFrame:
     return curate.sample(model.chunks(spark, d)).select("chunk_id", F.md5("body").alias("body_md5"))
 
 
-@_query()
+_SAMPLED = """sm AS (SELECT chunk_id, length(body) AS n, row_number() OVER (ORDER BY chunk_id) - 1 AS k FROM (SELECT chunk_id, body, row_number() OVER (ORDER BY chunk_id) - 1 AS rn FROM mc), (SELECT count(*) AS n, greatest(10, CAST(floor(sqrt(sum(length(body))) * 0.3) AS BIGINT)) AS target FROM mc)
+  WHERE CASE WHEN target >= n THEN rn < 30 ELSE rn IN (SELECT CAST(floor(i * (n / target)) AS BIGINT) FROM (SELECT unnest(range(0, 30)) AS i) WHERE i < target) END),
+  pr AS (SELECT k // 3 AS batch, k % 3 AS i, n, 0 AS part, n AS used FROM sm WHERE k % 3 = 0
+    UNION ALL SELECT p.batch, s.k % 3, s.n, p.part + CASE WHEN p.used + s.n > 15000 AND p.used > 0 THEN 1 ELSE 0 END, CASE WHEN p.used + s.n > 15000 AND p.used > 0 THEN s.n ELSE p.used + s.n END FROM pr p JOIN sm s ON s.k = p.batch * 3 + p.i + 1 AND p.i < 2)"""
+
+
+@_query(_with("SELECT batch, CAST(part AS INTEGER) AS part, count(*) AS n_chunks, CAST(sum(n) + 7 * (count(*) - 1) AS INTEGER) AS n_chars FROM pr GROUP BY batch, part", _SAMPLED))
 def q32_prompts(spark: SparkSession, d: str) -> DataFrame:
     """The prompts of that sample."""
     return curate.prompts(curate.sample(model.chunks(spark, d))).select("batch", "part", "n_chunks", F.length("prompt").alias("n_chars"))
@@ -541,19 +555,23 @@ _NAMED = r"named AS (SELECT insight_id, title, name, min(i) AS pos FROM (SELECT
 
 @_query(
     _with(
-        "SELECT DISTINCT entity_a, entity_b FROM (SELECT title AS entity_a, name AS entity_b FROM named UNION ALL SELECT a.name, b.name FROM named a JOIN named b ON a.insight_id = b.insight_id AND a.pos < b.pos) e WHERE entity_a <> entity_b AND NOT EXISTS (SELECT 1 FROM mr WHERE mr.entity_a = e.entity_a AND mr.entity_b = e.entity_b AND relation_type = 'MENTIONS')",
+        "SELECT DISTINCT entity_a, entity_b, 'MENTIONS' AS relation_type, 1.0::DOUBLE AS weight FROM (SELECT title AS entity_a, name AS entity_b FROM named UNION ALL SELECT a.name, b.name FROM named a JOIN named b ON a.insight_id = b.insight_id AND a.pos < b.pos) e WHERE entity_a <> entity_b AND NOT EXISTS (SELECT 1 FROM mr WHERE mr.entity_a = e.entity_a AND mr.entity_b = e.entity_b AND relation_type = 'MENTIONS')",
         _NAMED,
     )
 )
 def q41_link_notes(spark: SparkSession, d: str) -> DataFrame:
     """New edges from notes to entities and between entities of one note."""
-    return notes.link(model.insights(spark, d), model.entities(spark, d), model.relations(spark, d))[1].select("entity_a", "entity_b")
+    return notes.link(model.insights(spark, d), model.entities(spark, d), model.relations(spark, d))[1]
+
+
+_NAMED_MORE = _NAMED.replace("named AS", "named_more AS").replace("unnest(entities)", "unnest(list_append(entities, coalesce(title, '')))").replace("generate_subscripts(entities, 1)", "generate_subscripts(list_append(entities, coalesce(title, '')), 1)")
 
 
-@_query(_with("SELECT DISTINCT name, 'concept' AS entity_type, 'l3_insight' AS source FROM named WHERE name NOT IN (SELECT name FROM me)", _NAMED))
+@_query(_with("SELECT DISTINCT name, 'concept' AS entity_type, 'l3_insight' AS source FROM named_more WHERE name NOT IN (SELECT name FROM me)", _NAMED_MORE))
 def q42_register_from_notes(spark: SparkSession, d: str) -> DataFrame:
-    """Entities that notes name and nobody registered."""
-    return notes.link(model.insights(spark, d), model.entities(spark, d), model.relations(spark, d))[0]
+    """Entities that notes name and nobody registered, where each note names its own title as well."""
+    told = model.insights(spark, d).withColumn("entities", F.concat("entities", F.array(F.coalesce("title", F.lit("")))))
+    return notes.link(told, model.entities(spark, d), model.relations(spark, d))[0]
 
 
 @_query(
@@ -641,7 +659,7 @@ def q51_stream_traces(spark: SparkSession, d: str) -> DataFrame:
     return streams.latest_counts(spark, out)
 
 
-@_query()
+@_query(_with("SELECT slug, true AS same_title, true AS same_entities FROM mi"))
 def q52_frontmatter(spark: SparkSession, d: str) -> DataFrame:
     """Note files written with a head and read back; rows that don't come back equal are marked."""
     rows = model.insights(spark, d).select("slug", "title", "content", "entities")
@@ -651,11 +669,18 @@ def q52_frontmatter(spark: SparkSession, d: str) -> DataFrame:
     return read.join(rows.select("slug", "title", "entities"), "slug").select("slug", (F.col("meta")["title"] == F.col("title")).alias("same_title"), (F.col("lists")["entities"] == F.col("entities")).alias("same_entities"))
 
 
-@_query(_with("SELECT path, count(*) AS n, max(doc_id) AS newest FROM md GROUP BY path"))
+@_query(
+    _with(
+        "SELECT path, count(*) AS n, min(doc_id) AS oldest, max(doc_id) AS newest, max(title) AS title FROM (SELECT * FROM md WHERE path NOT IN (SELECT path FROM incoming WHERE path IS NOT NULL) OR path IS NULL UNION ALL SELECT * FROM incoming) GROUP BY path",
+        "incoming AS (SELECT max(doc_id) + 1000000 AS doc_id, path, 'once more' AS title, '' AS author FROM md WHERE path LIKE '%.md' GROUP BY path UNION ALL SELECT doc_id + 2000000, path || '.new', title, author FROM md WHERE path LIKE '%.txt')",
+    )
+)
 def q53_replace_by_path(spark: SparkSession, d: str) -> DataFrame:
-    """Documents after all Markdown books came again and replaced their paths."""
+    """Documents after all Markdown books came again under new ids, and others under new paths."""
     docs = model.docs(spark, d)
-    return files.replace_by_path(docs, docs.filter("path LIKE '%.md'")).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("newest"))
+    again = docs.filter("path LIKE '%.md'").groupBy("path").agg((F.max("doc_id") + 1000000).alias("doc_id")).select("doc_id", "path", F.lit("once more").alias("title"), F.lit("").alias("author"))
+    fresh = docs.filter("path LIKE '%.txt'").select((F.col("doc_id") + 2000000).alias("doc_id"), F.concat("path", F.lit(".new")).alias("path"), "title", "author")
+    return files.replace_by_path(docs, again.unionByName(fresh)).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("oldest"), F.max("doc_id").alias("newest"), F.max("title").alias("title"))
 
 
 @_query(_with("SELECT slug, CASE WHEN insight_id % 3 = 0 THEN 'added' WHEN insight_id % 3 = 1 THEN 'updated' ELSE 'skipped' END AS action FROM mi"))
@@ -671,3 +696,90 @@ def q54_sync_plan(spark: SparkSession, d: str) -> DataFrame:
 @_query(_with("SELECT doc_id, section_path, count(*) AS n FROM mc GROUP BY ALL HAVING count(*) > 1"))
 def q55_repeated_sections(spark: SparkSession, d: str) -> DataFrame:
     return chunking.repeated_sections(model.chunks(spark, d))
+
+
+@_query(
+    _with(
+        "SELECT description AS name, arg_min(entity_type, entity_id) AS type, arg_min(name, entity_id) AS description, array_to_string(list_sort(list_filter(list_distinct(flatten(list(aliases))), lambda x: x <> description)), '|') AS aliases FROM me GROUP BY description"
+    )
+)
+def q57_merge_found(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions merged by name: the first one's type and description, the aliases of all; here names are descriptions."""
+    found = model.entities(spark, d).select(F.col("description").alias("name"), F.col("entity_type").alias("type"), "aliases", F.col("name").alias("description"), F.col("entity_id").alias("ord"))
+    return curate.merge_entities(found).select("name", "type", "description", F.array_join("aliases", "|").alias("aliases"))
+
+
+@_query(
+    _with(
+        "SELECT coalesce(o.name, f.name) AS name, CASE WHEN o.name IS NULL OR length(f.description) > 0 THEN array_to_string(coalesce(f.aliases, o.aliases), '|') ELSE array_to_string(o.aliases, '|') END AS aliases, array_to_string(list_sort(CASE WHEN f.name IS NULL THEN o.source_docs ELSE list_distinct(list_concat(coalesce(o.source_docs, []), ['7', '8'])) END), '|') AS docs FROM (SELECT * REPLACE (list_distinct(source_docs) AS source_docs) FROM me) o FULL JOIN fresh f ON o.name = f.name",
+        "fresh AS (SELECT name, ['also ' || name, entity_type] AS aliases, CASE WHEN root = 'person' THEN 'seen again' ELSE '' END AS description FROM me WHERE cross_doc_count > 0 UNION ALL SELECT name || ' II', [name], 'new' FROM me WHERE source = 'manual')",
+    )
+)
+def q58_upsert_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Aliases and documents of entities after a run over documents 7 and 8."""
+    e = model.entities(spark, d).withColumn("source_docs", F.array_distinct("source_docs"))
+    again = e.filter("cross_doc_count > 0").select("name", F.lit("concept").alias("type"), F.array(F.concat(F.lit("also "), "name"), "entity_type").alias("aliases"), F.when(F.col("root") == "person", "seen again").otherwise("").alias("description"))
+    new = e.filter("source = 'manual'").select(F.concat("name", F.lit(" II")).alias("name"), F.lit("concept").alias("type"), F.array("name").alias("aliases"), F.lit("new").alias("description"))
+    done = curate.upsert_entities(e, again.unionByName(new), ["7", "8"])
+    return done.select("name", F.array_join("aliases", "|").alias("aliases"), F.array_join(F.array_sort("source_docs"), "|").alias("docs"))
+
+
+@_query(_with("SELECT slug, CASE WHEN insight_id % 3 = 2 THEN 'skipped' WHEN insight_id % 3 = 0 THEN 'added' ELSE 'updated' END AS action, CASE WHEN insight_id % 3 = 2 THEN title ELSE 'new ' || insight_id END AS title, CASE WHEN insight_id % 3 = 2 THEN array_to_string(entities, '|') ELSE 'a|b' END AS entities FROM mi"))
+def q59_sync_notes(spark: SparkSession, d: str) -> DataFrame:
+    """All notes written to files and read again: a third unknown to the table, a third older there, a third newer there."""
+    rows = model.insights(spark, d)
+    folder = scratch(spark, "notes")
+    when = F.when(F.col("insight_id") % 3 == 2, "2999-01-01T00:00:00").otherwise("2000-01-01T00:00:00")
+    known = rows.filter("insight_id % 3 <> 0").withColumn("updated_at", when)
+    out = rows.select("slug", F.concat(F.lit("new "), "insight_id").alias("title"), "created_at", F.col("created_at").alias("updated_at"), "source_docs", F.array(F.lit("a"), F.lit("b")).alias("entities"), "content")
+    note_files.write_notes(out, folder)
+    found = note_files.read_notes(spark, folder)
+    after, plan = note_files.merged(known, found)
+    return after.join(plan, "slug").select("slug", "action", "title", F.array_join("entities", "|").alias("entities"))
+
+
+_SAID = "said AS (SELECT DISTINCT name FROM (SELECT unnest(list_filter(string_split_regex(body, '[^A-Za-z]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{5,}'))) AS name FROM mc) WHERE NOT " + _NOISY + ")"
+
+
+@_query(
+    _with(
+        f"""SELECT s.name, coalesce(e.entity_type, 'concept') AS entity_type, coalesce(e.source, 'auto') AS source, greatest(coalesce(c.n, 0), coalesce(v.n, 0)) AS cross_doc_count FROM said s LEFT JOIN me e USING (name)
+        LEFT JOIN (SELECT x.name, count(DISTINCT doc_id) AS n FROM low_names x JOIN low_bodies ON contains(low_body, low) WHERE doc_id IS NOT NULL GROUP BY x.name) c USING (name)
+        LEFT JOIN (SELECT name, count(DISTINCT doc_id) AS n FROM (SELECT name, unnest(source_docs) AS d FROM me) JOIN md ON d = CAST(doc_id AS VARCHAR) GROUP BY name) v USING (name)""",
+        f"{_SAID}, low_names AS MATERIALIZED (SELECT name, {_ASCII.format('name')} AS low FROM said), low_bodies AS MATERIALIZED (SELECT doc_id, {_ASCII.format('body')} AS low_body FROM mc)",
+    )
+)
+def q60_build_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Entities that the deterministic extractor finds in all chunks, upserted and counted over all documents."""
+    chunks = model.chunks(spark, d)
+    made = build.build(model.docs(spark, d), chunks, model.entities(spark, d), model.relations(spark, d), None, mode="full", most=2**31 - 1)
+    said = chunks.select(F.explode(F.split("body", "[^A-Za-z]+")).alias("name")).filter("name RLIKE '^[A-Z][a-z]{5,}$'").distinct()
+    return made.entities.join(said, "name", "left_semi").select("name", "entity_type", "source", "cross_doc_count")
+
+
+@_query(
+    _with(
+        "SELECT rel_id, array_to_string(list_sort(list_distinct(list(note))), '|') AS notes FROM (SELECT r.rel_id, 'seen' AS note FROM mr r JOIN (SELECT DISTINCT entity_a, entity_b FROM mr WHERE weight > 3) h USING (entity_a, entity_b) UNION ALL SELECT rel_id, unnest(['kept', 'seen']) FROM mr WHERE weight <= 2) GROUP BY rel_id"
+    )
+)
+def q61_annotate_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Remarks on the edges between pairs with a heavy edge, united with the notes that light edges have."""
+    r = model.relations(spark, d)
+    seen = r.filter("weight > 3").select("entity_a", "entity_b", F.lit(None).cast("string").alias("relation_type"), F.lit("seen").alias("note"))
+    stored = r.filter("weight <= 2").select("rel_id", F.array(F.lit("kept"), F.lit("seen")).alias("notes"))
+    return curate.annotate(r, seen, stored).select("rel_id", F.array_join("notes", "|").alias("notes"))
+
+
+@_query(
+    _with(
+        f"""SELECT CAST(row_number() OVER (ORDER BY tier, pos) AS INTEGER) AS pos, insight_id, slug, source FROM (SELECT *, row_number() OVER (PARTITION BY insight_id ORDER BY tier, pos) AS rn FROM (
+        SELECT insight_id, 0 AS tier, 'fts' AS source, row_number() OVER (ORDER BY rank, insight_id) AS pos FROM (SELECT * FROM {_bm25_sql('mi', 'insight_id', 'list_concat(' + _terms_sql("coalesce(title, '')") + ', ' + _terms_sql("coalesce(content, '')") + ')', ['zz', 'river'])} ORDER BY rank, insight_id LIMIT 20)
+        UNION ALL SELECT insight_id, 1, 'like', row_number() OVER (ORDER BY created_at DESC, insight_id) FROM (SELECT * FROM mi WHERE contains({_ASCII.format('title')}, 'zz river') OR contains({_ASCII.format('content')}, 'zz river') ORDER BY created_at DESC, insight_id LIMIT 20)
+        UNION ALL SELECT insight_id, 2, 'vector', row_number() OVER (ORDER BY dist, insight_id) FROM (SELECT vec_id + 1 AS insight_id, {_DIST} AS dist FROM embeddings WHERE vec_id + 1 IN (SELECT insight_id FROM mi) ORDER BY 2, 1 LIMIT 20)))
+        JOIN mi USING (insight_id) WHERE rn = 1 ORDER BY tier, pos LIMIT 10"""
+    )
+)
+def q62_notes_by_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best notes where only vectors find any (a top-k search)."""
+    vectors = raw(spark, d, "embeddings").select((F.col("vec_id") + 1).alias("insight_id"), "embedding")
+    return search.notes(model.insights(spark, d), "zz river", ["zz", "river"], 10, vectors, _first_vector(spark, d), index=_index(spark, d, "insights")).select("pos", "insight_id", "slug", "source")

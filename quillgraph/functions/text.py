@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with accents and their plain forms, for search terms.
-ACCENTED, BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _accents() -> tuple[str, str]:
+    """Small letters with marks of the Latin, Greek and Cyrillic blocks, and what they are without them."""
+    marked, bare = [], []
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]):
+        base = unicodedata.normalize("NFD", c)[0]
+        if base != c and base.isalpha() and c == c.lower() and base == base.lower():
+            marked.append(c)
+            bare.append(base)
+    return "".join(marked), "".join(bare)
+
+
+#: Letters with accents and their plain forms, for search terms.
+ACCENTED, BARE = _accents()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -73,6 +88,7 @@ def even_space(text: Column) -> Column:
 
 def json_in(text: Column) -> Column:
     """The JSON object in a model's answer: the text itself, else a fenced block, else from the first to the last brace."""
+    # How a fenced block and an object are told.
     fenced = F.regexp_extract(text, r"```(?:json)?\s*([\s\S]*?)```", 1)
     braced = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
     valid = lambda c: F.when(F.json_object_keys(c).isNotNull(), c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,15 +20,15 @@ def window_cuts(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tup
     """Start and end of each window of a stripped text; a window ends at its last blank line if that lies past its middle."""
     if not 0 <= overlap <= size // 2:
         raise ValueError("the overlap must be at most half the size, or windows wouldn't advance")
-    out, at, n = [], 0, len(text)
-    while at < n:
-        end = min(at + size, n)
-        if end < n:
-            gap = text.rfind("\n\n", at, end)
-            end = gap if gap > at + size // 2 else end
-        out.append((at, end))
-        at = end - overlap if end < n else n
-    return out
+    gaps = [m.start() for m in re.finditer("\n(?=\n)", text)]
+    ends: list[int] = []
+    while text and (not ends or ends[-1] < len(text)):
+        start = ends[-1] - overlap if ends else 0
+        limit = start + size
+        last = bisect_right(gaps, limit - 2) - 1
+        natural = last >= 0 and gaps[last] > start + size // 2
+        ends.append(len(text) if limit >= len(text) else gaps[last] if natural else limit)
+    return list(zip([0, *(e - overlap for e in ends[:-1])], ends, strict=False))
 
 
 def windows(df: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

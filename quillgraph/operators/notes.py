@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import note_title, slug_of, strip
+from quillgraph.operators.curate import Extractor, extract
 
 LINKED = "l3_insight"
 
@@ -51,6 +52,16 @@ def link(insights: DataFrame, entities: DataFrame, relations: DataFrame) -> tupl
     return fresh, edges, prints
 
 
+def extracted(insights: DataFrame, extractor: Extractor) -> DataFrame:
+    """insights whose entities are those the extractor finds in their content, where they name none; others stay as they are."""
+    open_ = insights.filter(F.size(F.coalesce("entities", F.array().cast("array<string>"))) == 0)
+    asked = open_.select(F.col("insight_id").alias("batch"), F.lit(0).alias("part"), F.col("content").alias("prompt"))
+    found, _ = extract(asked, extractor)
+    names = found.groupBy(F.floor(F.col("ord") / 100_000_000).cast("long").alias("insight_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("__names"))
+    told = insights.join(names, "insight_id", "left")
+    return told.withColumn("entities", F.when(F.size(F.coalesce("entities", F.array().cast("array<string>"))) == 0, F.array_distinct(F.coalesce("__names", F.array().cast("array<string>")))).otherwise(F.col("entities"))).select(*insights.columns)
+
+
 def frontmatter(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, meta (map of texts), lists (map of lists), body of notes with a "---" head; without one meta is null and body is the text."""
 
