@@ -1,3 +1,4 @@
+from quillgraph.llm import pieces
 import random
 
 import pytest
@@ -47,3 +48,28 @@ def test_rows(spark):
     assert split(df.limit(0), "id", "body").count() == 0
     with pytest.raises(ValueError):
         cut("x" * 200, 100, 50)
+
+
+def test_no_shown_character_is_parted():
+    import regex
+
+    for unit in ("e\u0301", "👩\u200d👩\u200d👧", "🇩🇪", "ก\u0e33", "\u1112\u1161\u11ab", "👍🏽", "x\u0301\u0302\u0303", "\r\n"):
+        text = unit * 3000
+        ends = {0} | {m.end() for m in regex.finditer(r"\X", text)}
+        for start, end, _ in pieces.cut(text):
+            assert start in ends and end in ends, unit
+
+
+def test_overlaps_are_as_specified(spark):
+    text = " ".join(f"word{i} follows" for i in range(4000))
+    rows = pieces.split(spark.createDataFrame([(1, text)], "id long, body string"), "id", "body").orderBy("piece").collect()
+    assert all(125 <= r.overlap <= 175 for r in rows[1:]) and rows[0].overlap == 0
+    assert all(e - s <= 1500 for s, e, _ in pieces.cut("a" * 50_000)) and {a[1] - b[0] for a, b in zip(pieces.cut("a" * 50_000), pieces.cut("a" * 50_000)[1:])} == {150}
+
+
+def test_wrong_pieces_are_an_error():
+    import pytest
+
+    for bad in ([], [(0, 5, 0)], [(0, 3, 0), (4, 10, 0)], [(0, 10, 0), (5, 9, 0)]):
+        with pytest.raises(ValueError):
+            pieces.checked("0123456789", bad, 10)
