@@ -17,10 +17,11 @@ from quillgraph.session import written
 SURNAMES = frozenset("王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文")
 SURNAMES2 = frozenset("司徒 上官 慕容 欧阳 司马 诸葛 夏侯 皇甫 尉迟 公孙 令狐 宇文 长孙 东方 端木 南宫".split())
 # Words that label a number, and forms of address that name a person.
-ID_LABELS = ("social security", "insurance number", "national insurance", "steuer-id", "steuernummer", "sécurité sociale", "dni", "nie", "passport", "身份证", "证件", "個人番号", "マイナンバー", "ausweis", "tax id", "identity")
+ID_LABELS = ("social security", "insurance number", "insurance no", "national insurance", "steuer-id", "steuernummer", "sécurité sociale", "dni", "nie", "passport", "身份证", "证件", "個人番号", "マイナンバー", "ausweis", "tax id", "identity")
 PHONE_LABELS = ("phone", "call", "tel", "mobile", "fax", "号码", "电话", "手机", "連絡先", "llame", "joindre", "téléphone", "teléfono", "anruf", "rufen")
+EMAIL_LABELS = ("mail", "email", "e-mail", "correo", "courriel", "邮箱", "邮件", "メール")
+ADDRESS_LABELS = ("address", "adresse", "dirección", "住址", "地址", "住所", "lives at", "moved to", "wohnt in", "habite")
 TITLES = ("mr", "mrs", "ms", "miss", "herr", "frau", "mme", "mlle", "m", "sr", "sra", "srta", "don", "doña", "signed", "dr")
-_HONORIFIC = "さん|様|さま|殿|女士|先生|小姐|太太"
 
 _EMAIL = re.compile(r"[A-Za-z0-9À-ÿ][\w.+-]*(?:@|＠| ?[(\[](?:at|AT)[)\]] ?| (?:at|AT) (?=[\w-]+ (?:dot|DOT) ))(?:[A-Za-z0-9-]+(?:\.| ?[(\[](?:dot|DOT)[)\]] ?| (?:dot|DOT) ))+[A-Za-z]{2,}", re.A)
 _LETTERED = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-D FMPZ]|\d{8}[ -]?[A-Z]|[XYZ][ -]?\d{7}[ -]?[A-Z]|\d{6}[ -]?\d{8}[ -]?\d{3}[XxＸｘ])(?![A-Za-z0-9])")
@@ -44,14 +45,14 @@ _BEFORE_SMALL = re.compile(rf"(?<![{_L}0-9])([a-zà-ɏ]{{4,}}(?:-[a-zà-ɏ]{{3,}
 _MORE_INITIALS = re.compile(rf"(?: (?:[{_C}]\.)+)?(?![{_L}0-9])")
 _INITIALS = re.compile(rf"(?<![{_L}0-9.’'-])((?:[{_C}]\. ?){{1,2}})(?<=\. )({_FAMILY}){_EDGE}")
 _COMMA_INITIAL = re.compile(rf"(?<![{_L}0-9.’'-])({_FAMILY}), ([{_C}]\.(?: ?[{_C}]\.)?)(?![{_L}0-9])")
+_TITLED = re.compile(rf"(?<![{_L}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Sr|Sra|Srta|Don|Doña)\.? ([{_C}][{_L}]+) ({_FAMILY}){_EDGE}")
 _SMALL_WORD = re.compile("[a-zà-ɏ]{2,}")
 _HAN = "一-鿿々豈-﫿"
 _JAPANESE = re.compile(rf"(?<![{_HAN}ぁ-んァ-ヶー])(?<![{_HAN}ヶ][ 　])([{_HAN}ヶ]{{1,4}})([ 　]?)([ぁ-んァ-ヶー]{{1,5}}?|[{_HAN}]{{1,3}}?)(?=(?:さん|様|さま|殿))")
 _JA_AFTER_WA = re.compile(rf"(?<=[はがをに、「])([{_HAN}ヶ]{{1,4}})([ 　]?)([ぁ-んァ-ヶー]{{1,5}}?|[{_HAN}]{{1,3}}?)(?=(?:さん|様|さま|殿))")
 _CHINESE = re.compile(rf"(?:{'|'.join(sorted(SURNAMES2))})[{_HAN}]{{1,2}}|[{''.join(sorted(SURNAMES))}][{_HAN}]{{1,2}}")
 _HAS_HAN = re.compile(f"[{_HAN}]")
-_SENTENCE = re.compile(r"[。！？\n]")
-_STOP = re.compile("[。！？]")
+_POLITE = re.compile("女士|先生|小姐|太太")
 
 # Words for streets, flats and districts.
 _EN_STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Court|Ct|Close|Row|Way|Place|Pl|Square|Sq|Terrace|Crescent|Boulevard|Blvd|Hill|Mews|Gardens|Grove|Walk|Parade|Quay|Alley)"
@@ -109,19 +110,30 @@ def seed_kind(form: str, digits: int, number: str) -> str:
     return ""
 
 
-_LAST = re.compile(rf"([{_HAN}ぁ-んァ-ヶー：:；;，,]{{1,3}}|[^\W\d_]+(?:[-.'’][^\W\d_]+)*\.?|\d+|[^\w\s])\s*$")
+_LAST = re.compile(r"([^\W\d_]+(?:[-.'’][^\W\d_]+)*\.?|\d+|[^\w\s])\s*$")
 _FIRST = re.compile(rf"\s*([{_HAN}ぁ-んァ-ヶー]{{1,2}}|[^\W\d_]+|\d+|[^\w\s])")
+_CLOSE = re.compile(rf"[{_HAN}ぁ-んァ-ヶー：:；;，,]")
 
 
-def left_of(text: str, at: int) -> str:
+def left_of(text: str, at: int, name: bool = True) -> str:
     """What stands before a mention: two tokens of its sentence, or three characters of a spaceless script.
 
-    Names and numbers are made alike; "^" is the sentence's start, or a space before a mention in a spaceless script.
+    Names (but for the word right before a number or an address, which may label it), numbers and domains are made
+    alike; "^" is the sentence's start, or a space before a mention in a spaceless script.
     """
     out, stop = [], at
     if text[at : at + 1] > "⺀" and text[at - 1 : at].isspace():
         return "^"
     for _ in range(2):
+        last = stop
+        while last and text[last - 1].isspace() and text[last - 1] != "\n":
+            last -= 1
+        if last and text[last - 1] > "⺀" and _CLOSE.match(text[last - 1]):
+            begin = last - 1
+            while begin and last - begin < 3 and _CLOSE.match(text[begin - 1]):
+                begin -= 1
+            out.append(text[begin:last])
+            break
         m = _LAST.search(text, max(0, stop - 30), stop)
         if not m or "\n" in text[m.end(1) : stop]:
             out.append("^")
@@ -130,7 +142,7 @@ def left_of(text: str, at: int) -> str:
         if token in _STOPS or token[-1] in ".!?" and (out or token[:-1].lower() not in _POINTED):
             out.append("^")
             break
-        out.append("9" if token.isdigit() else "N" if token[:1].isupper() and (out or token.lower() not in TITLES) and token[-1] != "." else token.lower())
+        out.append("9" if token.isdigit() else "@" if "." in token[:-1] else "N" if token[:1].isupper() and (name or out) and (out or token.lower() not in TITLES) and token[-1] != "." else token.lower())
         if token[-1] > "ʯ" or token.lower().rstrip(".") in TITLES:
             break
         stop = m.start()
@@ -149,8 +161,8 @@ def right_of(text: str, at: int) -> str:
 def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, str, str, str, str, str]]:
     """What may be a mention: (sort, start, end, form, seed, key, left, right), sort being email, address, number or name.
 
-    E-mail addresses and addresses are told by their own form. Numbers and names come with their context, and a seed
-    where their form or their label alone is telling; key is a name's family name.
+    Every one comes with its form and its context. A seed is set only where a label or title stands before it and its
+    own form doesn't speak against that, or for an international phone number; key is a name's family name. Chinese names are looked for in the whole text.
     """
     out: list[tuple[str, int, int, str, str, str, str, str]] = []
     taken: list[tuple[int, int]] = []
@@ -158,7 +170,9 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
         local = _LOCAL.search(text, max(0, at.start() - 80), at.start())
         m = _EMAIL.match(text, local.start()) if local else None
         if m and m.end() > at.end() and not any(a < m.end() and m.start() < b for a, b in taken):
-            out.append(("email", m.start(), m.end(), "email", "email", "", "", ""))
+            near = text[max(0, m.start() - 12) : m.start()].lower()
+            shape = re.sub(r"[^@＠()\[\]. ]+", "a", m[0])
+            out.append(("email", m.start(), m.end(), shape, "email" if "@" in shape and any(x in near for x in EMAIL_LABELS) else "", "", left_of(text, m.start(), False), right_of(text, m.end())))
             taken.append((m.start(), m.end()))
     for words, house, rule in zip(_HINTS, _HOUSE, _ADDRESSES, strict=True):
         if house.search(text) and any(w in text for w in words):
@@ -169,7 +183,9 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
                 elif rule is _ADDRESSES[5]:
                     start += _lead_ja(text, start, end)
                 if not any(a < end and start < b for a, b in taken):
-                    out.append(("address", start, end, "address", "address", "", "", ""))
+                    near = text[max(0, start - 12) : start].lower()
+                    labelled = any(x in near for x in ADDRESS_LABELS)
+                    out.append(("address", start, end, f"address {_ADDRESSES.index(rule)}", "address" if labelled else "", "", left_of(text, start, False), right_of(text, end)))
                     taken.append((start, end))
     for gate, rule in ((_LETTER_END, _LETTERED), (_DIGITS, _NUMBER)):
         for m in rule.finditer(text) if gate.search(text) else ():
@@ -181,39 +197,42 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
                 continue
             if form[0] == "(" and ")" not in form:
                 start += 1
-            left = left_of(text, start)
+            left = left_of(text, start, False)
             low = left.lower()
-            seed = seed_kind(form, digits, s)
+            telling = seed_kind(form, digits, s)
             near = re.split("[。！？\\n]", text[max(0, start - 26) : start].lower())[-1]
-            if any(x in near for x in ID_LABELS):
-                seed = "id_number"
-            elif any(x in low for x in PHONE_LABELS):
-                seed = "phone"
+            label = "id_number" if any(x in near for x in ID_LABELS) else "phone" if any(x in low or x in near[-8:] for x in PHONE_LABELS) else ""
+            # an international number, or one that an authority's label precedes in a form that tells nothing else
+            seed = label if label == (telling or "id_number") else telling if not label and form[0] == "+" else ""
             out.append(("number", start, end, form, seed, "", left, right_of(text, end)))
             taken.append((start, end))
     found: set[tuple[int, int]] = set()
 
-    def name(start: int, end: int, form: str, family: str, seed: str = "") -> None:
+    def name(start: int, end: int, form: str, family: str, sure: bool = False) -> None:
         if (start, end) in found or any(a < end and start < b for a, b in found) or any(a < end and start < b for a, b in taken):
             return
         found.add((start, end))
-        out.append(("name", start, end, form, seed, plain(family), left_of(text, start), right_of(text, end)))
+        left = left_of(text, start)
+        seed = "name" if sure or "|" in form and left.split(" ")[-1].rstrip(".") in TITLES else ""
+        out.append(("name", start, end, form, seed, plain(family), left, right_of(text, end)))
 
     for m in _GIVEN.finditer(text):
         if plain_cached(m[0]) in given:
             before = _BEFORE_GIVEN.search(text, max(0, m.start() - 50), m.start()) if text[m.start() - 1 : m.start()] == " " else None
             if before and before[1].lower() not in _NO_FAMILY:
-                name(before.start(1), _MORE_INITIALS.match(text, m.end()).end() if _MORE_INITIALS.match(text, m.end()) else m.end(), "family, given", before[1], "name")
+                name(before.start(1), _MORE_INITIALS.match(text, m.end()).end() if _MORE_INITIALS.match(text, m.end()) else m.end(), f"family, given|{plain_cached(m[0])}", before[1])
             elif (after := _AFTER_GIVEN.match(text, m.end())) and (after[2].isupper() or not m[0].isupper()):
-                name(m.start(), after.end(), "given family", after[2], "name")
+                name(m.start(), after.end(), f"given family|{plain_cached(m[0])}", after[2])
+    for m in _TITLED.finditer(text):
+        name(m.start(1), m.end(2), "titled", m[2])
     words = set(_SMALL_WORD.findall(text)) if _HAS_HAN.search(text) else set(text.split())
     for word in words:
         if word in given or not word.isascii() and word.islower() and plain_cached(word) in given:
             for m in re.finditer(rf"(?<![{_L}0-9]){re.escape(word)}(?![{_L}0-9])", text):
                 if after := _AFTER_SMALL.match(text, m.end()):
-                    name(m.start(), after.end(), "small", after[2])
+                    name(m.start(), after.end(), f"small|{plain_cached(word)}", after[2])
                 if before := _BEFORE_SMALL.search(text, max(0, m.start() - 40), m.start()):
-                    name(before.start(1), m.end(), "small, given", before[1])
+                    name(before.start(1), m.end(), f"small, given|{plain_cached(word)}", before[1])
     if ". " in text:
         for m in _INITIALS.finditer(text):
             if m[2].lower() not in _NO_FAMILY:
@@ -225,19 +244,19 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
         if re.search("さん|様|さま|殿", text):
             for rule in (_JA_AFTER_WA, _JAPANESE):
                 for m in rule.finditer(text):
-                    name(m.start(), m.end(), "japanese", m[1], "name")
-        marks = sorted(a for a, _ in taken) + [m.start() for m in re.finditer(_HONORIFIC, text)]
-        for mark in marks:
-            begin = max((m.end() for m in _STOP.finditer(text, max(0, mark - 60), mark)), default=max(0, mark - 60))
-            stop = _SENTENCE.search(text, mark, mark + 80)
-            finish = stop.start() + 1 if stop else min(len(text), mark + 80)
-            at = begin
-            while m := _CHINESE.search(text, at, finish):
-                family = m[0][:2] if m[0][:2] in SURNAMES2 else m[0][:1]
-                if not any(a <= m.start() < b for a, b in taken):
-                    for length in range(len(m[0]), len(family), -1):
-                        out.append(("name", m.start(), m.start() + length, "chinese", "", family, left_of(text, m.start()), right_of(text, m.start() + length)))
-                at = m.start() + 1
+                    name(m.start(), m.end(), "japanese", m[1], True)
+        inside = {i for a, b in taken for i in range(a, b)}
+        at = 0
+        while m := _CHINESE.search(text, at):
+            at = m.start() + 1
+            if m.start() in inside:
+                continue
+            family = m[0][:2] if m[0][:2] in SURNAMES2 else m[0][:1]
+            left = left_of(text, m.start())
+            for length in range(len(m[0]), len(family), -1):
+                end = m.start() + length
+                polite = _POLITE.match(text, end) is not None
+                out.append(("name", m.start(), end, "chinese", "name" if polite and left == "^" else "", family, left, right_of(text, end)))
     return list(dict.fromkeys(out))
 
 
@@ -337,58 +356,84 @@ def given_names(given: DataFrame, forms: DataFrame) -> list[str]:
     return sorted({*frequent, *fixed} - {"", "the", "a"})
 
 
-#: Rounds of scoring; of a context's telling mentions at least KIND must be of its kind, there must be FEWEST of them and
-#: they must be SHARE of its mentions; of a form's mentions FORM must stand in trusted contexts of one kind.
-ROUNDS, KIND, FEWEST, SHARE, FORM = 3, 0.6, 2, 0.02, 0.9
-KINDS = ("phone", "id_number", "name")
+#: Rounds of scoring; of a pattern's telling mentions at least KIND must be of its kind, there must be FEWEST of them and
+#: they must be SHARE of its mentions (ONE_SIDED for a left side alone); FORM is a form's share of mentions of one kind.
+ROUNDS, KIND, FEWEST, SHARE, ONE_SIDED, FORM = 4, 0.6, 2, 0.02, 0.3, 0.9
+KINDS = ("phone", "id_number", "name", "email", "address")
+_ANY = "\u0000"
 
 
 def learned(found: DataFrame) -> DataFrame:
-    """sort, left, right, kind: the contexts that tell what stands in them, scored on the graph of contexts and forms.
-
-    The graph has an edge for each context (left, right) and form with its number of mentions, by an aggregate that is
-    partial on the map side. Telling mentions are seeds: positive ones for their kind, and names of public persons
-    (column public) as negative ones. In each round a context sums its telling mentions, where a mention without a
-    seed whose form the last round trusted counts a half; contexts pass by KIND, FEWEST and SHARE. A form is trusted if
-    FORM of its mentions stand in contexts of one kind. Contexts that nothing tells anything about never pass.
+    """sort, left, right, form, kind, round: what mentions of a form between a left and a right side are, and since when.
+
+    Patterns are the two sides of a mention, or its left side alone; instances are forms (a number's or address's shape,
+    a name's given name). The graph has an edge for each pattern and form with its number of mentions, by an aggregate
+    that is partial on the map side. Telling mentions are the seeds, positive for their kind, and names of public
+    persons (column public), negative. In each round a pattern sums its telling mentions, where a mention without a
+    seed whose form is trusted counts a half, and passes by KIND, FEWEST and SHARE; a form is trusted if FORM of what is
+    told about its mentions by trusted patterns and seeds is one kind (for numbers, FORM of all its mentions). What is
+    trusted stays so. Patterns and forms that nothing tells anything about never pass.
     """
     side = ["sort", "left", "right"]
     telling = [F.sum(F.when((F.col("seed") == k) & ~F.col("public"), 1).otherwise(0)).alias(k) for k in KINDS]
-    edges = written(found.groupBy(*side, "form").agg(F.count(F.lit(1)).alias("n"), *telling, F.sum(F.when(F.col("public"), 1).otherwise(0)).alias("other")), "edges")
-    trusted = None
-    for _ in range(ROUNDS):
-        weighed = edges.withColumn("form_kind", F.lit(None).cast("string")) if trusted is None else edges.join(trusted, ["sort", "form"], "left")
-        unknown = F.col("n") - F.col("phone") - F.col("id_number") - F.col("name") - F.col("other")
-        scores = weighed.groupBy(*side).agg(F.sum("n").alias("n"), F.sum("other").alias("other"), *[F.sum(F.col(k) + F.when(F.col("form_kind") == k, unknown * 0.5).otherwise(0)).alias(k) for k in KINDS])
-        best, told = F.greatest(*KINDS), F.col("phone") + F.col("id_number") + F.col("name") + F.col("other")
-        kind = F.when(best == F.col("name"), "name").when(best == F.col("id_number"), "id_number").otherwise("phone")
-        contexts = scores.filter((best >= told * KIND) & (best >= FEWEST) & (best >= F.col("n") * SHARE)).select(*side, kind.alias("kind"))
-        shares = edges.filter("sort = 'number'").join(contexts, side, "left").groupBy("sort", "form", "kind").agg(F.sum("n").alias("n"))
-        told_n = F.when(F.col("kind").isNotNull(), F.col("n"))
-        totals = shares.groupBy("sort", "form").agg(F.sum("n").alias("all"), F.max_by("kind", told_n).alias("form_kind"), F.max(told_n).alias("most"))
-        trusted = written(totals.filter((F.col("most") >= F.col("all") * FORM) & (F.col("most") > 1)).select("sort", "form", "form_kind"), "forms")
-    return written(contexts, "contexts")
+    two = written(found.groupBy(*side, "form").agg(F.count(F.lit(1)).alias("n"), *telling, F.sum(F.when(F.col("public"), 1).otherwise(0)).alias("other")), "edges")
+    one = two.groupBy("sort", "left", "form").agg(*[F.sum(c).alias(c) for c in ("n", *KINDS, "other")]).withColumn("right", F.lit(_ANY))
+    edges = written(two.unionByName(one), "patterns")
+    spark = found.sparkSession
+    patterns = spark.createDataFrame([], "sort string, left string, right string, kind string, round int")
+    forms = spark.createDataFrame([], "sort string, form string, form_kind string, form_round int")
+    best = F.greatest(*KINDS)
+    which = F.coalesce(*[F.when(F.col(k) == best, F.lit(k)) for k in KINDS])
+    told = sum((F.col(k) for k in KINDS), F.col("other"))
+    for at in range(1, ROUNDS + 1):
+        weighed = edges.join(forms, ["sort", "form"], "left")
+        half = lambda k: F.col(k) + F.when(F.col("form_kind") == k, (F.col("n") - told) * 0.5).otherwise(0)
+        scores = weighed.groupBy(*side).agg(F.sum("n").alias("n"), F.sum("other").alias("other"), *[F.sum(half(k)).alias(k) for k in KINDS])
+        share = F.when(F.col("right") == _ANY, ONE_SIDED).otherwise(SHARE)
+        new = scores.filter((best >= told * KIND) & (best >= FEWEST) & (best >= F.col("n") * share)).select(*side, which.alias("kind"), F.lit(at).alias("round"))
+        patterns = written(patterns.unionByName(new.join(patterns.select(*side), side, "left_anti")), "patterns")
+        placed = _placed(two, patterns)
+        said = [F.sum(F.when(F.col("kind") == k, F.col("n") - F.col("other")).otherwise(F.when(F.col("kind").isNull(), F.col(k)).otherwise(0))).alias(k) for k in KINDS]
+        sums = placed.groupBy("sort", "form").agg(F.sum(F.col("n") - F.col("other")).alias("n"), *said).withColumn("other", F.lit(0))
+        sure = (best >= told * FORM) & (best >= FEWEST) & ((F.col("sort") != "number") | (best >= F.col("n") * FORM)) & ((F.col("sort") != "name") | F.contains("form", F.lit("|")))
+        more = sums.filter(sure).select("sort", "form", which.alias("form_kind"), F.lit(at).alias("form_round"))
+        forms = written(forms.unionByName(more.join(forms.select("sort", "form"), ["sort", "form"], "left_anti")), "forms")
+    judged = _placed(two, patterns).join(forms, ["sort", "form"], "left")
+    kind = F.coalesce("kind", "form_kind")
+    fits = F.when(F.col("sort") == "number", kind.isin("phone", "id_number")).otherwise(kind == F.col("sort"))
+    return written(judged.filter(fits).select(*side, "form", kind.alias("kind"), F.coalesce("round", "form_round").alias("round")), "judged")
+
+
+def _placed(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """edges with the kind and round of their two-sided pattern, or else of their left side."""
+    full = patterns.filter(F.col("right") != _ANY).select("sort", "left", "right", F.col("kind").alias("k2"), F.col("round").alias("r2"))
+    left = patterns.filter(F.col("right") == _ANY).select("sort", "left", F.col("kind").alias("k1"), F.col("round").alias("r1"))
+    met = edges.join(full, ["sort", "left", "right"], "left").join(left, ["sort", "left"], "left")
+    return met.withColumns({"kind": F.coalesce("k2", "k1"), "round": F.when(F.col("k2").isNotNull(), F.col("r2")).otherwise(F.col("r1"))}).drop("k1", "k2", "r1", "r2")
+
+
+def judged(documents: DataFrame, entities: DataFrame, forms: DataFrame) -> DataFrame:
+    """doc_id, kind, start_pos, end_pos, seed, round: the mentions that trusted patterns or forms tell, and in which round.
+
+    Every mention is accepted by scores, seeds too. Family names of persons in entities are no case.
+    """
+    families, given = known_people(entities)
+    found = written(mentions(documents, given_names(given, forms)), "mentions")
+    names = join_unique(found.filter("sort = 'name'"), families.withColumn("public", F.lit(True)), "key", "left").withColumn("public", F.col("public").isNotNull())
+    open_ = written(names.unionByName(found.filter("sort <> 'name'").withColumn("public", F.lit(False))), "open")
+    edge = F.unhex(F.md5(F.concat_ws("\u001f", "sort", "left", "right", "form"))).alias("edge")
+    known = learned(open_).select(edge, "kind", "round")
+    return join_unique(open_.filter("NOT public").select("doc_id", "start_pos", "end_pos", "seed", edge), known, "edge", "inner").drop("edge")
 
 
 def find(documents: DataFrame, entities: DataFrame, forms: DataFrame) -> DataFrame:
     """doc_id, kind, start_pos, end_pos of each mention of a private person or how to reach one.
 
-    Seeds (forms and labels that are telling by themselves) induce contexts; contexts are scored on their graph with
-    the forms; what stands in a trusted context is found whatever its form. Family names of persons in entities are
-    no case. Equal documents give equal mentions; null texts none. Of overlapping mentions the longest stays.
+    A few seeds (a label or title before, and a telling form) induce patterns; patterns and forms are scored in rounds
+    on their graph; what trusted patterns or forms tell is found. Equal documents give equal mentions; null texts none.
+    Of overlapping mentions of a kind the first and longest stays.
     """
-    families, given = known_people(entities)
-    found = written(mentions(documents, given_names(given, forms)), "mentions")
-    sure = found.filter(F.col("sort").isin("email", "address")).select("doc_id", F.col("sort").alias("kind"), "start_pos", "end_pos")
-    names = join_unique(found.filter("sort = 'name'"), families.withColumn("public", F.lit(True)), "key", "left").withColumn("public", F.col("public").isNotNull())
-    open_ = written(names.unionByName(found.filter("sort = 'number'").withColumn("public", F.lit(False))), "open")
-    contexts = learned(open_)
-    known = contexts.select(F.concat_ws("\u001f", "sort", "left", "right").alias("context"), F.col("kind").alias("context_kind"))
-    judged = join_unique(open_.filter("NOT public").withColumn("context", F.concat_ws("\u001f", "sort", "left", "right")), known, "context", "left")
-    seed = F.when(F.col("seed") != "", F.col("seed"))
-    kind = F.when(F.col("sort") == "number", F.coalesce("context_kind", seed)).when((F.col("context_kind") == "name") | (F.col("seed") == "name"), "name")
-    chosen = judged.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select("doc_id", "kind", "start_pos", "end_pos")
-    return _longest(sure.unionByName(chosen).distinct())
+    return _longest(judged(documents, entities, forms).select("doc_id", "kind", "start_pos", "end_pos").distinct())
 
 
 def _longest(every: DataFrame) -> DataFrame:

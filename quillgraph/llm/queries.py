@@ -120,10 +120,16 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find(raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "entities"), raw(spark, sf_dir, "name_forms"))
 
 
+def p10_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many mentions of each kind the patterns and forms of each round tell, and how many of these are seeds."""
+    found = personal.judged(raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "entities"), raw(spark, sf_dir, "name_forms"))
+    return found.groupBy("kind", "round").agg(F.count(F.lit(1)).alias("n_mentions"), F.sum(F.when(F.col("seed") != "", 1).otherwise(0)).alias("n_seeds"))
+
+
 def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its mentions replaced by typed placeholders."""
     return personal.mask(raw(spark, sf_dir, "documents"), p10_found(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_masked": p10_masked}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_sentences": p7_sentences, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_masked": p10_masked, "p10_rounds": p10_rounds}
 ORACLE: dict[str, str] = {}
