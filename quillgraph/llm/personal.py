@@ -35,22 +35,27 @@ _DATE = re.compile(r"(?:19|20)\d{2}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[
 _WIDE = re.compile("[０-９＋－（）]")
 _TO_ASCII = {ord(a): b for a, b in zip("０１２３４５６７８９＋－（）", "0123456789+-()", strict=True)}
 _L, _C = "A-Za-zÀ-ÖØ-öø-ɏ", "A-ZÀ-ÖØ-Þ"
-_GIVEN = re.compile(rf"(?:(?<![{_L}0-9.'’-])[{_C}][{_L}]+(?= [{_C}])|(?<=, )[{_C}][{_L}]+)")
+#: What may not stand right before a name; rules that begin with a capital are much faster without looking behind.
+_JOINED = re.compile(rf"[{_L}0-9.'’-]")
+_GIVEN = re.compile(rf"[{_C}][{_L}]+(?= [{_C}])")
+_GIVEN_LAST = re.compile(rf", ([{_C}][{_L}]+)")
 _FAMILY = rf"[{_C}][{_L}]+(?:['’][{_C}][{_L}]+)?(?:-[{_C}][{_L}]+)?"
 _EDGE = rf"(?![{_L}0-9’'])"
 _AFTER_GIVEN = re.compile(rf"((?: (?:[{_C}]\.)+)?) ({_FAMILY}){_EDGE}")
 _AFTER_SMALL = re.compile(rf"((?: [a-zà-ÿ]\.)?) ([a-zà-ɏ]{{3,}}(?:-[a-zà-ɏ]{{3,}})?){_EDGE}")
 _BEFORE_GIVEN = re.compile(rf"(?<![{_L}0-9.’'-])({_FAMILY}), $")
 _BEFORE_SMALL = re.compile(rf"(?<![{_L}0-9])([a-zà-ɏ]{{4,}}(?:-[a-zà-ɏ]{{3,}})?), $")
+_GIVEN_WORD = re.compile(".+")
 _MORE_INITIALS = re.compile(rf"(?: (?:[{_C}]\.)+)?(?![{_L}0-9])")
-_INITIALS = re.compile(rf"(?<![{_L}0-9.’'-])((?:[{_C}]\. ?){{1,2}})(?<=\. )({_FAMILY}){_EDGE}")
-_COMMA_INITIAL = re.compile(rf"(?<![{_L}0-9.’'-])({_FAMILY}), ([{_C}]\.(?: ?[{_C}]\.)?)(?![{_L}0-9])")
-_TITLED = re.compile(rf"(?<![{_L}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Sr|Sra|Srta|Don|Doña)\.? ([{_C}][{_L}]+) ({_FAMILY}){_EDGE}")
+_INITIALS = re.compile(rf"((?:[{_C}]\. ?){{1,2}})(?<=\. )({_FAMILY}){_EDGE}")
+_HAS_COMMA_INITIAL = re.compile(rf", [{_C}]\.")
+_COMMA_INITIAL = re.compile(rf"({_FAMILY}), ([{_C}]\.(?: ?[{_C}]\.)?)(?![{_L}0-9])")
+_TITLED = re.compile(rf"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Sr|Sra|Srta|Don|Doña)\.? ([{_C}][{_L}]+) ({_FAMILY}){_EDGE}")
 _SMALL_WORD = re.compile("[a-zà-ɏ]{2,}")
 _HAN = "一-鿿々豈-﫿"
 _JAPANESE = re.compile(rf"(?<![{_HAN}ぁ-んァ-ヶー])(?<![{_HAN}ヶ][ 　])([{_HAN}ヶ]{{1,4}})([ 　]?)([ぁ-んァ-ヶー]{{1,5}}?|[{_HAN}]{{1,3}}?)(?=(?:さん|様|さま|殿))")
 _JA_AFTER_WA = re.compile(rf"(?<=[はがをに、「])([{_HAN}ヶ]{{1,4}})([ 　]?)([ぁ-んァ-ヶー]{{1,5}}?|[{_HAN}]{{1,3}}?)(?=(?:さん|様|さま|殿))")
-_CHINESE = re.compile(rf"(?:{'|'.join(sorted(SURNAMES2))})[{_HAN}]{{1,2}}|[{''.join(sorted(SURNAMES))}][{_HAN}]{{1,2}}")
+_CHINESE = re.compile(rf"[{''.join(sorted(SURNAMES | {x[0] for x in SURNAMES2}))}][{_HAN}]{{1,3}}")
 _HAS_HAN = re.compile(f"[{_HAN}]")
 _POLITE = re.compile("女士|先生|小姐|太太")
 
@@ -158,6 +163,17 @@ def right_of(text: str, at: int) -> str:
     return "$" if not m or "\n" in text[at : m.start(1)] else "9" if m[1].isdigit() else "N" if m[1][:1].isupper() else m[1].lower()
 
 
+def _apart(rule: re.Pattern, text: str) -> Iterator[re.Match]:
+    """The rule's matches that nothing is joined to on the left; what begins within a refused one is tried as well."""
+    at = 0
+    while m := rule.search(text, at):
+        if m.start() and _JOINED.match(text, m.start() - 1):
+            at = m.start() + 1
+        else:
+            yield m
+            at = m.end()
+
+
 def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, str, str, str, str, str]]:
     """What may be a mention: (sort, start, end, form, seed, key, left, right), sort being email, address, number or name.
 
@@ -166,7 +182,7 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
     """
     out: list[tuple[str, int, int, str, str, str, str, str]] = []
     taken: list[tuple[int, int]] = []
-    for at in _AT.finditer(text):
+    for at in _AT.finditer(text) if "@" in text or "＠" in text or any(x in text for x in ("(at)", "(AT)", "[at]", "[AT]", " at ", " AT ")) else ():
         local = _LOCAL.search(text, max(0, at.start() - 80), at.start())
         m = _EMAIL.match(text, local.start()) if local else None
         if m and m.end() > at.end() and not any(a < m.end() and m.start() < b for a, b in taken):
@@ -190,6 +206,8 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
     for gate, rule in ((_LETTER_END, _LETTERED), (_DIGITS, _NUMBER)):
         for m in rule.finditer(text) if gate.search(text) else ():
             s, start, end = m[0], m.start(), m.end()
+            if end - start < 7:
+                continue
             form, digits = form_of(s)
             if not (6 + ("A" not in form) <= digits <= 18) or _DATE.fullmatch(s) or form.startswith("999-9-9999-9999-9"):
                 continue
@@ -216,28 +234,32 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
         seed = "name" if sure or "|" in form and left.split(" ")[-1].rstrip(".") in TITLES else ""
         out.append(("name", start, end, form, seed, plain(family), left, right_of(text, end)))
 
-    for m in _GIVEN.finditer(text):
+    spans = {m.span() for m in _apart(_GIVEN, text)} | {m.span(1) for m in _GIVEN_LAST.finditer(text)}
+    for begin, stop in sorted(spans):
+        m = _GIVEN_WORD.match(text, begin, stop)
         if plain_cached(m[0]) in given:
             before = _BEFORE_GIVEN.search(text, max(0, m.start() - 50), m.start()) if text[m.start() - 1 : m.start()] == " " else None
             if before and before[1].lower() not in _NO_FAMILY:
                 name(before.start(1), _MORE_INITIALS.match(text, m.end()).end() if _MORE_INITIALS.match(text, m.end()) else m.end(), f"family, given|{plain_cached(m[0])}", before[1])
             elif (after := _AFTER_GIVEN.match(text, m.end())) and (after[2].isupper() or not m[0].isupper()):
                 name(m.start(), after.end(), f"given family|{plain_cached(m[0])}", after[2])
-    for m in _TITLED.finditer(text):
+    for m in _apart(_TITLED, text):
         name(m.start(1), m.end(2), "titled", m[2])
     words = set(_SMALL_WORD.findall(text)) if _HAS_HAN.search(text) else set(text.split())
-    for word in words:
-        if word in given or not word.isascii() and word.islower() and plain_cached(word) in given:
-            for m in re.finditer(rf"(?<![{_L}0-9]){re.escape(word)}(?![{_L}0-9])", text):
-                if after := _AFTER_SMALL.match(text, m.end()):
-                    name(m.start(), after.end(), f"small|{plain_cached(word)}", after[2])
-                if before := _BEFORE_SMALL.search(text, max(0, m.start() - 40), m.start()):
-                    name(before.start(1), m.end(), f"small, given|{plain_cached(word)}", before[1])
+    known = words & given
+    if not text.isascii():
+        known |= {w for w in words - given if not w.isascii() and w.islower() and plain_cached(w) in given}
+    for word in sorted(known):
+        for m in re.finditer(rf"(?<![{_L}0-9]){re.escape(word)}(?![{_L}0-9])", text):
+            if after := _AFTER_SMALL.match(text, m.end()):
+                name(m.start(), after.end(), f"small|{plain_cached(word)}", after[2])
+            if before := _BEFORE_SMALL.search(text, max(0, m.start() - 40), m.start()):
+                name(before.start(1), m.end(), f"small, given|{plain_cached(word)}", before[1])
     if ". " in text:
-        for m in _INITIALS.finditer(text):
+        for m in _apart(_INITIALS, text):
             if m[2].lower() not in _NO_FAMILY:
                 name(m.start(), m.end(), "initial family", m[2])
-        for m in _COMMA_INITIAL.finditer(text):
+        for m in _apart(_COMMA_INITIAL, text) if _HAS_COMMA_INITIAL.search(text) else ():
             if m[1].lower() not in _NO_FAMILY:
                 name(m.start(), m.end(), "family, initial", m[1])
     if _HAS_HAN.search(text):
@@ -252,8 +274,10 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
             if m.start() in inside:
                 continue
             family = m[0][:2] if m[0][:2] in SURNAMES2 else m[0][:1]
+            if len(family) == 1 and family not in SURNAMES or len(family) == len(m[0]):
+                continue
             left = left_of(text, m.start())
-            for length in range(len(m[0]), len(family), -1):
+            for length in range(min(len(m[0]), len(family) + 2), len(family), -1):
                 end = m.start() + length
                 polite = _POLITE.match(text, end) is not None
                 out.append(("name", m.start(), end, "chinese", "name" if polite and left == "^" else "", family, left, right_of(text, end)))

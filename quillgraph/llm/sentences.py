@@ -20,7 +20,7 @@ AFTER_ORDINAL = frozenset("januar februar märz april mai juni juli august septe
 CLOSES = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "《": "》", "【": "】", "〈": "〉", "〔": "〕"}
 CLOSERS = "”“’»›」』）)\\]》】〉〕\"'"
 # Verbs that report speech, as they stand at the end of a Chinese clause.
-_REPORT = re.compile(r"[^。！？!?“”「」『』\n]{0,40}?(?:问道|問道|说道|說道|答道|笑道|叹道|嘆道|喊道|写道|寫道|说|說|问|問|曰|云|道)[。！？!?]")
+_REPORT = re.compile(r"[^。！？!?“”「」『』\n]*?(?:问道|問道|说道|說道|答道|笑道|叹道|嘆道|喊道|写道|寫道|说|說|问|問|曰|云|道)[。！？!?]")
 _GOES_ON = re.compile(r"[便就又而并並即乃遂则則且后後的]|随即|然后|于是|とは|と|って|という|など|の|を|が|は|に|も|라고|하고|라는|고\b|이라고|라며")
 # Thai words by what they say about a gap: closing particles, opening words, words that go on, verbs, others.
 THAI_FINAL = frozenset("หรือไม่ ครับ ค่ะ คะ นะ แล้ว ครั้ง ไหม มั้ย เถอะ สิ จ้ะ จ๊ะ เลย หรือยัง ด้วย".split())
@@ -31,8 +31,10 @@ THAI_OTHER = frozenset("บทความ บันทึก หนังสื
 THAI = {w: k for k, words in (("final", THAI_FINAL), ("open", THAI_OPEN), ("on", THAI_ON), ("verb", THAI_VERB), ("other", THAI_OTHER)) for w in words}
 _LONGEST = max(map(len, THAI))
 
-_STOP = re.compile("[.!?…।॥؟۔。！？｡\\n“„«‹「『（(\\[《【〈〔”»›」』）)\\]》】〉〕]|(?<=[\\u0e00-\\u0e7f0-9A-Za-z])[ \\u00a0]+(?=[\\u0e00-\\u0e7f])|(?<=[\\u0e00-\\u0e7f])[ \\u00a0]+")
-_RUN = re.compile(r"[.!?…।॥؟۔。！？｡]+")
+# Terminators of other scripts than the Latin, Chinese and Japanese, which end a sentence wherever they stand.
+SCRIPT_ENDS = "।॥؟۔։።፧፨។៕៖။༎།᠃᠉꓿᙮᱾᱿꘎꘏꛳꛷꡶꡷꩝꩞꩟꫰꫱꯫"
+_STOP = re.compile("[.!?…" + SCRIPT_ENDS + "。！？｡\\n“„«‹「『（(\\[《【〈〔”»›」』）)\\]》】〉〕]|(?<=[\\u0e00-\\u0e7f0-9A-Za-z])[ \\u00a0]+(?=[\\u0e00-\\u0e7f])|(?<=[\\u0e00-\\u0e7f])[ \\u00a0]+")
+_RUN = re.compile(f"[.!?…{SCRIPT_ENDS}。！？｡]+")
 _AFTER = re.compile(rf"(?:[   ]?[»›]|[{CLOSERS}])")
 _SPACE = re.compile(r"\s*")
 _LATIN_END = re.compile(r"((?:[A-Za-zÀ-ʯЀ-ӿऀ-ॿء-ي]+(?:\.\s?-?)?-?)*?[A-Za-zÀ-ʯЀ-ӿऀ-ॿء-ي]+|\d+)$")
@@ -70,7 +72,7 @@ def lattice(run: str) -> list[tuple[str, str]]:
 
 def thai_gap(before: str, after: str) -> bool:
     """Whether a space between two Thai runs ends a sentence, by closing particles, opening words and verbs."""
-    left, right = lattice(before[-80:]), lattice(after[:80])
+    left, right = lattice(before), lattice(after)
     if not left or not right or right[0][1] == "on":
         return False
     if left[-1][1] == "on":
@@ -114,7 +116,7 @@ def _ends(text: str, start: int, run_at: int, run_end: int, end: int, opened: in
         return not (rest < len(text) and text[rest].islower())
     if following.islower():
         return False
-    if run[-1] in "।॥؟۔":
+    if run[-1] in SCRIPT_ENDS:
         return True
     if not gap:
         if opened >= 0 and "가" <= following <= "힣":
@@ -122,7 +124,7 @@ def _ends(text: str, start: int, run_at: int, run_end: int, end: int, opened: in
         return bool(_WIDE.match(following) or following in "“«「『（《") and (run[-1] in "!?" or text[run_at - 1].isalpha() or opened >= 0)
     if run[-1] in "!?" or opened >= 0:
         return True
-    m = _LATIN_END.search(text, max(start, run_at - 24), run_at)
+    m = _LATIN_END.search(text, _word_start(text, start, run_at), run_at)
     if not m:
         return True
     word = m[1].lower().replace(" ", "")
@@ -137,6 +139,24 @@ def _ends(text: str, start: int, run_at: int, run_end: int, end: int, opened: in
     return not (word in NEVER or last in NEVER and (following.isalnum() or following in "«“„"))
 
 
+_INK = re.compile(r"\S*")
+
+
+def _run_start(text: str, start: int, at: int) -> int:
+    """Where the run without white space that ends at a place begins, not before start."""
+    while at > start and not text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _word_start(text: str, start: int, at: int) -> int:
+    """Where the word before a point begins, the parts of a spaced abbreviation ("z. B") included."""
+    at = _run_start(text, start, at)
+    while at - 2 > start and text[at - 1] in "  \t" and text[at - 2] == "." and at - _run_start(text, start, at - 1) < 6:
+        at = _run_start(text, start, at - 1)
+    return at
+
+
 def split(text: str | None) -> list[tuple[int, int]]:
     """Start and end of each sentence, in code points; white space around it isn't part of it.
 
@@ -173,8 +193,8 @@ def split(text: str | None) -> list[tuple[int, int]]:
                 at = p + 1
         elif c in "  ":
             if not stack:
-                before = re.search(r"[^\s]*$", text[max(start, p - 80) : p])[0]
-                after = re.match(r"[^\s]*", text[m.end() : m.end() + 80])[0]
+                before = text[_run_start(text, start, p) : p]
+                after = _INK.match(text, m.end())[0]
                 if after and thai_gap(before, after):
                     at = start = finish(p)
                     continue

@@ -52,3 +52,19 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "A b. C d.", 0), (2, None, 0)], "id long, body string, sentence int")
     assert [(r.id, r.start_pos, r.end_pos) for r in sentences(df, "id", "body").collect()] == [(1, 0, 4), (1, 5, 9)]
     assert sentences(df.limit(0), "id", "body").count() == 0
+
+
+def test_terminators_of_many_scripts():
+    from quillgraph.llm.sentences import split
+
+    for text in ("ខ្ញុំទៅផ្សារ។ គាត់នៅផ្ទះ។", "သူသွားသည်။ ကျွန်တော်နေသည်။", "ሰላም ነው። ደህና ነው።", "Ես գնացի։ Նա մնաց։", "བོད་ཡིག། སྐད་ཡིག།"):
+        assert len(split(text)) == 2, text
+
+
+def test_long_runs_decide_like_short_ones():
+    from quillgraph.llm.sentences import split
+
+    long = "“好。”" + "他" * 200 + "说。"
+    assert len(split(long)) == len(split("“好。”他说。")) == 1
+    word = "x" * 100
+    assert len(split(f"He saw {word}etc. Then he left.")) == len(split("He saw betc. Then he left.")) == 2
