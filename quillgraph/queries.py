@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import catalog
 from quillgraph.operators import instants, references
-from quillgraph.session import scratch, shared_folder
+from quillgraph.session import scratch
 from quillgraph.sources.tables import raw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +40,8 @@ def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every id of the three tables with its time text and instant; null where the text names none."""
-    store = f"{shared_folder(spark)}/quillgraph/instants"  # kept: the next run parses only what is new
+    # a cluster names the dictionary that it keeps from run to run; without one each run parses every distinct text
+    store = spark.conf.get("spark.quillgraph.instants", None) or scratch(spark, "instants")
     return instants.normalise(_times(spark, sf_dir), raw(spark, sf_dir, "writers"), store).select("table_name", "row_id", "writer_id", "raw_time", "utc_micros")
 
 
