@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.domain import is_noise, valid_triplets
 from quillgraph.functions.text import ascii_lower, strip
-from quillgraph.plans.skew import Bloom, join_many, join_unique
+from quillgraph.plans.skew import Bloom, in_order, join_many, join_unique
 from quillgraph.session import written
 
 MOST_CHUNKS, PER_PROMPT, PROMPT_CHARS, JOINT = 30, 3, 15_000, "\n\n---\n\n"
@@ -46,7 +46,8 @@ def sample(chunks: DataFrame, mode: str = "sample", rate: float = 0.3, most: int
     total, chars = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     target = max(10, int(chars**0.5 * rate))
     if mode == "full" or target >= total:
-        return chunks.orderBy("chunk_id").limit(most).select("chunk_id", "body")
+        every = chunks.select("chunk_id", "body")
+        return every if total <= most else every.orderBy("chunk_id").limit(most)
     step = total / target
     wanted = [int(i * step) for i in range(min(target, most))]
     # only the first max(wanted) + 1 ids can be meant: a top-k, not a global window
@@ -57,9 +58,9 @@ def sample(chunks: DataFrame, mode: str = "sample", rate: float = 0.3, most: int
 def prompts(sampled: DataFrame) -> DataFrame:
     """batch, part, prompt, n_chunks: groups of PER_PROMPT chunks in id order, split where PROMPT_CHARS would be passed.
 
-    Its input is a sample of at most MOST_CHUNKS rows. The fold over a group is a higher-order aggregate.
+    Its input may be a sample or all chunks: rows are numbered by ranges. The fold over a group is a higher-order aggregate.
     """
-    rows = sampled.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("chunk_id")) - 1) / PER_PROMPT))
+    rows = in_order(sampled, "place", "chunk_id").withColumn("batch", F.floor(F.col("place") / PER_PROMPT))
     groups = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "body"))).alias("items"))
     start = F.struct(F.array().cast("array<struct<part:int,body:string>>").alias("done"), F.lit(0).alias("part"), F.lit(0).alias("used"))
 

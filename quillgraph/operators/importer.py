@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators.notes import import_entities, import_relations, last_traces, sourced
-from quillgraph.session import written
+from quillgraph.plans.skew import in_order
 
 # Stages. Each takes the old rows and what is there, and gives what is to be added.
 
@@ -113,13 +113,9 @@ SCHEMAS = {
 
 
 def _numbered(rows: DataFrame, column: str, known: DataFrame, *order: str) -> DataFrame:
-    """rows with new ids after the known ones, in order; numbers go by ranges, so no task sorts the whole table."""
+    """rows with new ids after the known ones, in order."""
     top = known.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    spread = written(spread, "numbered")
-    sizes = spread.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("__first"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
-    return spread.join(F.broadcast(before.select("__p", "__first", "__before")), "__p").withColumn(column, (F.lit(top) + 1 + F.col("__before") + F.col("__i") - F.col("__first")).cast("long")).drop("__p", "__i", "__first", "__before")
+    return in_order(rows, column, *order, first=top + 1)
 
 
 def import_all(store: Store, old: dict[str, DataFrame]) -> dict[str, object]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.session import written
@@ -123,3 +123,16 @@ class Bloom:
             part = mine.join(F.broadcast(words), "__word", "left").select(*rows.columns, (hit & F.col(key).isNotNull()).alias(name))
             out = part if out is None else out.unionByName(part)
         return out
+
+
+def in_order(rows: DataFrame, column: str, *order: str, first: int = 0) -> DataFrame:
+    """rows with their number in an order, from `first`; ranges are sorted apart, so no task sees the whole table.
+
+    The rows are written once; what is summed up in one place are the ranges' sizes, one row a partition.
+    """
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    spread = written(spread, "numbered")
+    sizes = spread.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("__first"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = spread.join(F.broadcast(before.select("__p", "__first", "__before")), "__p")  # one row a partition
+    return placed.withColumn(column, (F.lit(first) + F.col("__before") + F.col("__i") - F.col("__first")).cast("long")).drop("__p", "__i", "__first", "__before")
