@@ -127,3 +127,36 @@ def test_a_link_does_not_depend_on_the_table(spark):
     two = [(1, "Chronicle of Rotimapihol", "work", None, None), (2, "Chronicle of Rotimapihql", "work", None, None)]
     more = [(100 + i, f"Chronicle of {''.join(random.Random(i).choices('abcdefghij', k=11))}", "work", None, None) for i in range(400)]
     assert (1, 2) in groups(spark, two) and (1, 2) in groups(spark, two + more)
+
+
+def test_persons_of_many_names(spark):
+    life = "thinker, 1700–1760"
+    rows = [
+        (1, "Anna Margaret Cecily Dorothea Danamobebol", "person", None, life), (2, "Danamobebol, Dorothea Cecily Margaret Anna", "person", None, None),
+        (3, "Peggy Ysolde Franziska Henrike Wilhelmina Daenamobebol", "person", None, life), (4, "C. Danamobebol", "person", None, life),
+        (5, "Bruno Gustav Jasper Kilian Oskar Danamobebol", "person", None, "thinker, 1800–1870"),
+        (6, "Q. R. S. T. U. Yufezolonort", "person", None, None), (7, "Tobias Yufezolonort", "person", None, None),
+    ]
+    assert groups(spark, rows) == {*itertools.combinations((1, 2, 3, 4), 2), (6, 7)}
+
+
+def test_other_tokens_like_every_order():
+    rng = random.Random(4)
+    formal = {"greta": frozenset({"margaret"}), "peggy": frozenset({"margaret"})}
+    some = ["greta", "peggy", "margaret", "margarit", "m.", "g.", "dan.", "daniel", "danlel", "hugo", "otto", "younger"]
+    for _ in range(3000):
+        a, b = ([rng.choice(some) for _ in range(rng.randrange(1, 6))] for _ in range(2))
+        sure = rng.random() < 0.5
+        long_a, long_b = ([t for t in x if len(t.rstrip(".")) > 1] for x in (a, b))
+        first = itertools.product(long_a, long_b) if long_a and long_b else ((p[0], q[0]) for p in itertools.permutations(a) for q in itertools.permutations(b))
+        wanted = ("younger" in a) == ("younger" in b) and any(names.given_match([x], [y], formal, sure) for x, y in first)
+        assert names.same_name(" ".join([*a, "vosterlanik"]), " ".join(["vosterlanik", *b]), "vosterlanik", "vosterlanik", "person", sure, formal) == wanted
+    # thousands of other tokens end as well
+    a, b = ([f"{c}{i}" for i in range(3000)] for c in "ab")
+    assert names.same_name(" ".join([*a, "x", "same"]), " ".join([*b, "x", "same"]), "x", "x", "person", False, {})
+
+
+def test_long_chinese_given_names(spark):
+    life = "1500—1560"
+    rows = [(1, "欧阳素利明远方", "person", None, life), (2, "素利明远方", "person", None, life), (3, "素利明远", "person", None, "1600—1650"), (4, "尹素利明远香", "person", None, "1600—1650")]
+    assert groups(spark, rows) == {(1, 2)}
