@@ -1,11 +1,16 @@
+import random
 import sqlite3
 import zipfile
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import domain, text
 from quillgraph.operators import chunking, curate, notes, search
+from quillgraph.plans import grams
 from quillgraph.sources import files
 
 
@@ -108,6 +113,62 @@ def test_mention_counts_like_plain_containment(spark):
     assert got == wanted
 
 
+def test_mention_counts_meets_few_pairs_if_names_begin_alike(spark, monkeypatch):
+    """What all names and texts share ("The ") doesn't pair them: 200 names and 300 texts made 60,000 pairs by first characters."""
+    made = {}
+    keep = curate.written
+
+    def counting(df, label, *more):
+        out = keep(df, label, *more)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(curate, "written", counting)
+    names = [f"The {i:03d}th Garden" for i in range(200)]
+    bodies = [(i, f"the tower and the {i:03d}TH garden") for i in range(300)]
+    got = curate.mention_counts(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(bodies, "doc_id long, body string"))
+    assert {r.name: r.n_docs for r in got.collect()} == {n: 1 for n in names}
+    assert made["mention-pairs"] <= 2 * len(names)
+
+
+def test_mention_counts_takes_chunks_without_id(spark):
+    chunks = spark.createDataFrame([(None, 1, "of Plato"), (None, 2, "to Plato"), (3, 2, "plato"), (4, None, "Plato")], "chunk_id long, doc_id long, body string")
+    got = curate.mention_counts(spark.createDataFrame([("Plato",)], "name string"), chunks).collect()
+    assert [tuple(r) for r in got] == [("Plato", 2)]
+
+
+def test_mention_counts_of_all_lengths(spark):
+    """Names of 1 byte to some dozens, across the ends of texts, at their starts and ends, with odd characters."""
+    rng = random.Random(5)
+    bodies = [(i % 40, "".join(rng.choice("abA é孔子\n😀\0") for _ in range(rng.randrange(40)))) for i in range(400)]
+    names = {b[k : k + rng.randrange(1, 20)] for _, b in bodies for k in [rng.randrange(30)]} | {"zz", "abababababababab", bodies[0][1] + bodies[1][1]}
+    got = {r.name: r.n_docs for r in curate.mention_counts(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(bodies, "doc_id long, body string")).collect()}
+    low = str.maketrans("AB", "ab")
+    wanted = {n: k for n in names if n and (k := len({d for d, b in bodies if n.translate(low) in b.translate(low)}))}
+    assert got == wanted
+
+
+def test_grams_of_several_bitmaps_and_steps(spark, monkeypatch):
+    words = [f"word{i * 7919:08d}" for i in range(3000)]
+    names = spark.createDataFrame([(w,) for w in words[::2]], "low string")
+    texts = spark.createDataFrame([(i, " ".join(words[i : i + 3])) for i in range(2998)], "id long, body string")
+    asked = grams.grams_of(names, "low").filter("gram % 3 = 0")
+    one = {tuple(r) for r in grams.texts_with(asked, texts, "id", "body").join(asked.select("gram").distinct(), "gram").collect()}
+    counts = {tuple(r) for r in grams.texts_with(asked, texts, "id", "body", count=True).join(asked.select("gram").distinct(), "gram").collect()}
+    monkeypatch.setattr(grams, "MOST_BITS", 1 << 16)
+    assert {tuple(r) for r in grams.texts_with(asked, texts, "id", "body").join(asked.select("gram").distinct(), "gram").collect()} == one
+    assert {tuple(r) for r in grams.texts_with(asked, texts, "id", "body", count=True).join(asked.select("gram").distinct(), "gram").collect()} == counts
+    wanted = {r.gram for r in asked.collect()}
+    plain = {(g, i) for i in range(2998) for t in [" ".join(words[i : i + 3]).encode()] for k in range(len(t) - 7) if (g := int.from_bytes(t[k : k + 8], "little", signed=True)) in wanted}
+    assert one == plain and counts == set(Counter(g for g, _ in plain).items())
+    every = np.full(1 << 10, (1 << 64) - 1, np.uint64)
+    some = pa.array(["", "abcdefghij", "x", "", "abcdefgh" * 9, "ab"]).slice(1)
+    whole, parts = grams.found(some.cast(pa.binary()), every, (8, 4, 2, 1)), grams.found(some.cast(pa.binary()), every, (8, 4, 2, 1), step=5)
+    assert [x.tolist() for x in whole] == [x.tolist() for x in parts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([b"abc", b"", b"d" * 50, None, b"e" * 9, b"f"])], ["id", "body"])
+    assert [p.column(0).to_pylist() for p in grams.parts_of(batch, 10)] == [[0, 1], [2, 3], [4, 5]] and pa.Table.from_batches(grams.parts_of(batch, 1)) == pa.Table.from_batches([batch])
+
+
 def test_heads_round_trip():
     meta, lists, body = {"title": "A: b", "slug": "s"}, {"entities": ["黑暗森林"], "source_docs": []}, "Body\n---\nmore"
     assert notes.parse_head(notes.head_text(meta, lists, body)) == (meta, lists, body)
